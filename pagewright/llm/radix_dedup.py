@@ -3,7 +3,7 @@
 Rows are split by their first bytes, then every part with more than one row by its next bytes, and so on until a part
 is a single row or its texts have ended together. Bytes alone decide equality; no digest does. The digit widens from
 round to round, so that a text of n bytes takes about log(n) exchanges. The counts of a round are combined on the map
-side; rows meet their counts in an equi-join that adaptive execution splits when a part is hot.
+side and stored; rows meet them in an equi-join of its own, whose hot parts adaptive execution splits.
 """
 
 from __future__ import annotations
@@ -32,8 +32,8 @@ def radix_groups(df: DataFrame, text: Column, order: Column, carry: Column) -> D
     width = FIRST_DIGIT
     rows = df.select(carry.alias("row"), order.alias("ord"), body.alias("body"))
     rows = rows.select("row", "ord", F.substring("body", 1, width).alias("digit"), F.expr(f"substring(body, {width + 1})").alias("rest"))
-    counts = rows.groupBy("digit").agg(F.count(F.lit(1)).alias("n"))
-    first = rows.join(counts, "digit").select(
+    counts = Table(rows.groupBy("digit").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "counts").read()
+    first = rows.join(counts, "digit", "left").withColumn("n", F.coalesce("n", F.lit(1).cast("long"))).select(
         "row", "ord", "n",
         F.when(F.col("n") > 1, F.col("digit")).alias("part"),
         F.when(F.col("n") > 1, F.col("rest")).alias("rest"),
@@ -49,7 +49,7 @@ def radix_groups(df: DataFrame, text: Column, order: Column, carry: Column) -> D
             "row", "ord", "rid", "part", F.substring("rest", 1, width).alias("digit"),
             (F.length("rest") <= width).alias("ended"), F.expr(f"substring(rest, {width + 1})").alias("rest"),
         )
-        counts = rows.groupBy(*key).agg(F.count(F.lit(1)).alias("n"), F.max(F.struct("ord", "rid")).alias("top"))
+        counts = Table(rows.groupBy(*key).agg(F.count(F.lit(1)).alias("n"), F.max(F.struct("ord", "rid")).alias("top")), "counts").read()
         over = F.col("ended") | (F.col("n") == 1)
         split = rows.join(counts, key).select(
             "row", "ord", "rid", "n", over.alias("over"), F.col("top.ord").alias("top_ord"), F.col("top.rid").alias("top_rid"),
