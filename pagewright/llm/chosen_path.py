@@ -339,10 +339,10 @@ def similar_classes(rows: DataFrame, threshold: float = THRESHOLD, recall: float
     leaders = filled.join(classes.select(F.col("id").alias("rid")), "rid", "left_semi").withColumnRenamed("rid", "id")
     leaders = Table(leaders.select("id", "coords", "sketch"), "leaders").read()
     groups = Table(connected_components(candidate_edges(leaders, runs_for(recall, threshold))), "groups").read()
-    sizes = groups.groupBy("root").agg(F.count(F.lit(1)).alias("size"))
+    sizes = Table(groups.groupBy("root").agg(F.count(F.lit(1)).alias("size")), "sizes").read()
     members = groups.join(sizes, "root").withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int"))
     members = members.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    texts = rows.select(F.col("rid").alias("node"), "text").join(members, "node")
+    texts = rows.select(F.col("rid").alias("node"), "text").join(members.hint("merge"), "node")  # one exchange of the texts at every size
     placed = texts.select("root", "block", "text", F.col("node").alias("id"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
     placed = placed.select("root", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "id", "text")
     compared = placed.repartition("root", "low", "high").sortWithinPartitions("root", "low", "high").mapInArrow(_exact(threshold), "id long, links long, a long, b long")
@@ -351,7 +351,7 @@ def similar_classes(rows: DataFrame, threshold: float = THRESHOLD, recall: float
     parts = connected_components(compared.filter("id is null").select("a", "b")).withColumnRenamed("node", "id")
     classes = classes.join(links, "id", "left").join(parts, "id", "left").select("sig", "n_copies", F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("root", "id").alias("root"))
     known = Table(filled.select("rid", "sig").join(ids, "rid").join(classes, "sig").select("rid", "doc_id", "n_copies", "n_links", "root"), "members").read()
-    best = known.groupBy("root").agg(F.min(F.struct("doc_id", "rid")).alias("first"), F.min("doc_id").alias("class_id"))
+    best = Table(known.groupBy("root").agg(F.min(F.struct("doc_id", "rid")).alias("first"), F.min("doc_id").alias("class_id")), "best").read()
     linked = known.join(best, "root").select("rid", "doc_id", "class_id", "n_links", "n_copies", F.col("first.rid").alias("keep_rid"))
     alone = ids.join(sets.filter("n = 0").select("rid"), "rid", "left_semi").select("rid", "doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"), F.lit(1).cast("long").alias("n_copies"), F.col("rid").alias("keep_rid"))
     return linked.unionByName(alone)

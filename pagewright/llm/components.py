@@ -19,7 +19,7 @@ def connected_components(links: DataFrame) -> DataFrame:
     before = None
     while True:
         ways = links.filter("u <> v").unionByName(links.filter("u <> v").select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = ways.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        least = Table(ways.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least").read()  # stored, so that the join on a hub can be split
         large = ways.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         loops = links.filter("u = v")
         large = large.unionByName(loops).distinct()
