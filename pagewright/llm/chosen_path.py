@@ -38,6 +38,8 @@ BUCKET = 1000
 #: Sketch similarity from which a pair is a candidate, and the pivot's inner and outer similarity.
 CANDIDATE = 0.62
 INNER, OUTER = 0.78, 0.5
+#: Heavy nodes (some 50 bytes each) up to which their pivots are broadcast; more are joined by merging.
+BROADCAST_NODES = 1 << 17
 BLOCK = 512
 COLUMNS = 4096
 GROUP_BYTES = 1 << 19
@@ -240,12 +242,15 @@ def candidate_edges(sets: DataFrame, runs: int) -> DataFrame:
     while True:
         sizes = bare.groupBy("path").agg(F.count(F.lit(1)).alias("size"), F.min("id").alias("pivot_id")).filter(F.col("size") > BUCKET)
         heavy = Table(sizes.select("path", "pivot_id"), "heavy").read()
-        light = light_rows.join(heavy.select("path"), "path", "left_anti")
+        few = heavy.count()
+        # few heavy nodes go to the rows, so that rows of light nodes are not exchanged with their coordinates
+        beside = F.broadcast if few <= BROADCAST_NODES else lambda df: df.hint("merge")
+        light = light_rows.join(beside(heavy.select("path")), "path", "left_anti")
         found.append(light.select("path", "id", "sketch").repartition("path").sortWithinPartitions("path", "id").mapInArrow(_brute, "a long, b long"))
-        if heavy.isEmpty():
+        if not few:
             break
-        pivots = heavy.join(sets.select(F.col("id").alias("pivot_id"), F.col("sketch").alias("pivot_sketch")), "pivot_id")
-        split = full.join(pivots, "path").select("path", "id", "coords", "sketch", "pivot_id", "pivot_sketch").mapInArrow(_split_heavy, "a long, b long, " + NODES)
+        pivots = sets.select(F.col("id").alias("pivot_id"), F.col("sketch").alias("pivot_sketch")).join(beside(heavy), "pivot_id")
+        split = full.join(beside(pivots), "path").select("path", "id", "coords", "sketch", "pivot_id", "pivot_sketch").mapInArrow(_split_heavy, "a long, b long, " + NODES)
         split = Table(split, "split").read()
         found.append(split.filter("path is null").select("a", "b"))
         full = split.filter("path is not null").select("path", "id", "coords", "sketch")
