@@ -6,6 +6,7 @@ trained in numpy on the driver from a bounded sample of labelled rows and goes o
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,7 +20,7 @@ from .common import id_crc
 
 UNDETERMINED = "und"
 FOLDS, HELD_FOLD = 3, 1
-#: Bounds of the training sample: labels, rows of each, characters of a row (from a place drawn by its hash).
+#: Bounds of the training sample: labels, distinct texts of each, characters of a row (from a place drawn by its hash).
 MAX_LABELS = 500
 ROWS_PER_LABEL = 300
 SAMPLE_CHARS = 1200
@@ -30,23 +31,34 @@ GROUP_BYTES = 1 << 19
 
 
 def training_sample(rows: DataFrame, label: Column, text: Column) -> list[tuple[str, str]]:
-    """(label, text) of at most ROWS_PER_LABEL rows for each label, drawn by hash. Two passes: the first counts rows by
-    label, the second reads about four times the bound of each label at most before it is cut to the bound."""
-    rows = rows.select(label.alias("label"), text.alias("text")).filter("label is not null and length(trim(text)) > 0")
-    counts = {x["label"]: x["n"] for x in rows.groupBy("label").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "label").limit(MAX_LABELS + 1).collect()}
+    """(label, text) of min(ROWS_PER_LABEL, distinct texts) rows for each label: its texts of the smallest hashes, copies
+    counted once. The first pass estimates distinct texts by label, the second reads the texts below a hash bound that
+    about four times the rows fall under and keeps one copy of each before the exchange. A label that the bound left
+    short is read again in whole."""
+    rows = rows.select(label.alias("label"), text.alias("text"), F.xxhash64(text, F.lit(1)).alias("h")).filter("label is not null and length(trim(text)) > 0")
+    counts = {x["label"]: x["n"] for x in rows.groupBy("label").agg(F.approx_count_distinct("h").alias("n")).orderBy(F.desc("n"), "label").limit(MAX_LABELS + 1).collect()}
     if len(counts) > MAX_LABELS:
         raise ValueError(f"more than {MAX_LABELS} labels")
-    if not counts:
-        return []
-    share = F.lit(0.0)
-    for k, n in counts.items():
-        share = F.when(F.col("label") == k, F.lit(min(1.0, 4 * ROWS_PER_LABEL / n))).otherwise(share)
-    drawn = F.xxhash64("text", F.lit(1))
-    near = rows.withColumn("h", drawn).filter(F.pmod(F.col("h"), F.lit(1_000_003)) < share * 1_000_003)
+    shares = {k: min(1.0, 4 * ROWS_PER_LABEL / n) for k, n in counts.items()}
+    sample = _smallest(rows, shares) if shares else []
+    got = Counter(k for k, _ in sample)
+    short = {k: 1.0 for k, share in shares.items() if share < 1 and got[k] < ROWS_PER_LABEL}
+    if short:
+        sample = [x for x in sample if x[0] not in short] + _smallest(rows, short)
+    return sorted(sample)
+
+
+def _smallest(rows: DataFrame, shares: dict[str, float]) -> list[tuple[str, str]]:
+    """(label, excerpt) of the ROWS_PER_LABEL distinct texts of the smallest hashes, of those in each label's share of all
+    hashes."""
+    bound = F.lit(None).cast("long")
+    for k, share in shares.items():
+        bound = F.when(F.col("label") == k, F.lit(min((1 << 63) - 1, int(share * (1 << 64)) - (1 << 63)))).otherwise(bound)
     start = 1 + F.pmod(F.xxhash64("text", F.lit(2)), F.greatest(F.lit(1), F.length("text") - SAMPLE_CHARS))
-    cut = near.select("label", F.col("text").substr(start.cast("int"), F.lit(SAMPLE_CHARS)).alias("text"), "h")
-    top = cut.withColumn("turn", F.row_number().over(Window.partitionBy("label").orderBy("h", "text"))).filter(F.col("turn") <= ROWS_PER_LABEL)
-    return sorted((x["label"], x["text"]) for x in top.select("label", "text").collect())
+    cut = rows.filter(F.col("h") <= bound).select("label", F.col("text").substr(start.cast("int"), F.lit(SAMPLE_CHARS)).alias("text"), "h")
+    once = cut.withColumn("copy", F.row_number().over(Window.partitionBy("label", "h").orderBy("text"))).filter("copy = 1")
+    top = once.withColumn("turn", F.row_number().over(Window.partitionBy("label").orderBy("h"))).filter(F.col("turn") <= ROWS_PER_LABEL)
+    return [(x["label"], x["text"]) for x in top.select("label", "text").collect()]
 
 
 class Tagger:

@@ -190,6 +190,14 @@ def test_language_id(spark):
     assert langid.identify(docs.filter("false")).count() == 0
 
 
+def test_language_sample_has_every_label(spark):
+    rows = spark.range(20_000).selectExpr("concat('few', id % 40) as label", "concat('boiler plate ', id % 40, ' ', id % 2000 >= 1000) as text", "id")
+    more = spark.range(3000).selectExpr("'many' as label", "concat('text ', id % 1500) as text", "id")
+    got = Counter(langid.training_sample(rows.unionByName(more.unionByName(rows.selectExpr("'hot' as label", "'one text' as text", "id"))), F.col("label"), F.col("text")))
+    assert max(got.values()) == 1
+    assert Counter(k for k, _ in got) == Counter({"many": 300, "hot": 1} | {f"few{i}": 2 for i in range(40)})
+
+
 def test_toxicity(spark):
     rng = random.Random(6)
     words = [f"w{i}" for i in range(200)]
