@@ -77,6 +77,34 @@ def test_large_near_group_is_split_by_pivots(spark, monkeypatch):
     assert {r.n_links for r in got} == {59}
 
 
+def test_links_survive_splits_below_the_root():
+    rng, pairs = np.random.default_rng(1), 100_000
+    a = rng.integers(1 << 32, size=(pairs, chosen_path.COORDS), dtype=np.uint32)
+    b = np.where(rng.random(a.shape) < 0.8, a, ~a)
+    left = np.arange(pairs)
+    for run in range(chosen_path.runs_for(chosen_path.RECALL, 0.8)):
+        rows = left[a[left, run] == b[left, run]]
+        paths = rng.integers(1 << 62, size=len(rows))
+        for _ in range(6):
+            both = [(p, chosen_path._step(paths, b[rows], c) == p) for c in range(chosen_path.CHILDREN) for p in [chosen_path._step(paths, a[rows], c)]]
+            rows, paths = np.concatenate([rows[same] for _, same in both]), np.concatenate([p[same] for p, same in both])
+        left = np.setdiff1d(left, rows)
+    assert len(left) <= 15  # 10 at the promised recall
+
+
+def test_pivots_keep_links_in_spite_of_sketch_noise():
+    rng = np.random.default_rng(2)
+    lost = 0
+    for _ in range(8):
+        pivot, x = (rng.integers(1 << 32, size=(5000, chosen_path.MINWISE), dtype=np.uint32) for _ in range(2))
+        kind = rng.random(pivot.shape)
+        x = np.where(kind < 0.8, pivot, x)
+        y = np.where((kind >= 0.6) & (kind < 0.8), ~pivot, x)
+        p, x, y = (chosen_path.sketch_bits(v) for v in (pivot, x, y))
+        lost += int(((chosen_path.similarity(x, p) >= chosen_path.INNER) & (chosen_path.similarity(y, p) < chosen_path.OUTER)).sum())
+    assert lost <= 4  # of 40,000
+
+
 def test_decontamination(spark):
     rng = random.Random(2)
     words = [f"t{i}" for i in range(40)]
