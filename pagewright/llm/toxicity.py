@@ -25,9 +25,10 @@ from .bytewords import TERM, fold_texts, groups_by_bytes, mix, words_of
 from .common import id_crc
 
 FOLDS = 5
-#: Bounds of the training sample: labelled rows of each class, and characters of a row (from a place drawn by its hash).
+#: Bounds of the training sample: labelled rows of each class, and characters of a class from which no more rows follow.
+#: Texts are never cut.
 ROWS_PER_CLASS = 1500
-SAMPLE_CHARS = 12_000
+CLASS_CHARS = 18_000_000
 WINDOW, STRIDE = 32, 16
 WORD_BITS, GRAM_BITS = 17, 17
 GRAMS = (3, 4, 5)
@@ -266,17 +267,18 @@ def held_out(doc_id: Column) -> Column:
 
 def training_sample(docs: DataFrame, labels: DataFrame) -> list[tuple[int, str]]:
     """(label, text) of labelled rows outside the held-out fold: at most ROWS_PER_CLASS of each class, drawn by the hash
-    of the id. The drawn ids are few, so that the documents are filtered by a broadcast of them."""
+    of the id, as whole texts; a row follows while those before it have less than CLASS_CHARS. The drawn ids are few, so
+    that the documents are filtered by a broadcast of them."""
     rows = labels.filter("doc_id is not null and toxic in (0, 1)").filter(~held_out(F.col("doc_id"))).select("doc_id", F.col("toxic").cast("int").alias("toxic"))
     ids = []
     for y in (0, 1):
         ids.append(rows.filter(F.col("toxic") == y).groupBy("doc_id").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(ROWS_PER_CLASS))
     drawn = ids[0].unionByName(ids[1])
-    start = 1 + F.pmod(F.xxhash64("text"), F.greatest(F.lit(1), F.length("text") - SAMPLE_CHARS))
-    texts = docs.select("doc_id", "text").join(F.broadcast(drawn), "doc_id").filter("text is not null")
-    got = texts.select("doc_id", "toxic", F.col("text").substr(start.cast("int"), F.lit(SAMPLE_CHARS)).alias("text"))
+    got = docs.select("doc_id", "text").join(F.broadcast(drawn), "doc_id").filter("text is not null")
     top = got.withColumn("turn", F.row_number().over(Window.partitionBy("doc_id").orderBy("toxic", "text"))).filter("turn = 1")
-    return [(x["toxic"], x["text"]) for x in top.select("toxic", "text", "doc_id").sort("doc_id").collect()]
+    before = Window.partitionBy("toxic").orderBy(F.xxhash64("doc_id"), "doc_id").rowsBetween(Window.unboundedPreceding, -1)
+    fit_in = top.withColumn("before", F.coalesce(F.sum(F.length("text")).over(before), F.lit(0))).filter(F.col("before") < CLASS_CHARS)
+    return [(x["toxic"], x["text"]) for x in fit_in.select("toxic", "text", "doc_id").sort("doc_id").collect()]
 
 
 def score_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:

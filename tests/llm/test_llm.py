@@ -246,6 +246,17 @@ def test_toxicity(spark):
     assert toxicity.score_documents(docs, lab.filter("false")).count() == 302
 
 
+def test_toxicity_learns_from_whole_texts(spark, monkeypatch):
+    texts = [f"{i} " + "clean words " * 4000 + "nasty" for i in range(20)]
+    lab = spark.createDataFrame([(i, 1, i % 2) for i in range(20)], "doc_id long, quality int, toxic int")
+    sample = lambda: toxicity.training_sample(_docs(spark, texts), lab)
+    whole = Counter((i % 2, texts[i]) for i in range(20) if zlib.crc32(str(i).encode()) % toxicity.FOLDS)
+    assert Counter(sample()) == whole
+    monkeypatch.setattr(toxicity, "CLASS_CHARS", 50_000)
+    few = Counter(sample())
+    assert few <= whole and Counter(y for y, _ in few) == {0: 2, 1: 2}
+
+
 def test_gradients_of_the_recurrent_network():
     from pagewright.llm import gru
 
