@@ -19,6 +19,7 @@ from .bytewords import fold_texts, groups_by_bytes
 from .common import id_crc
 
 UNDETERMINED = "und"
+LETTER = r"\p{L}"
 FOLDS, HELD_FOLD = 3, 1
 #: Bounds of the training sample: labels, distinct texts of each, characters of a row (from a place drawn by its hash).
 MAX_LABELS = 500
@@ -142,7 +143,7 @@ def predict(docs: DataFrame, tagger: Tagger, carry: list[Column]) -> DataFrame:
     """``carry`` columns with lang_pred and score. A text that is null or has no letter is undetermined with score 0, and
     so is every text where no label was learned."""
     held = docs.sparkSession.sparkContext.broadcast((tagger.labels, tagger.weights))
-    rows = docs.select(F.struct(*carry).alias("row"), F.when(F.col("text").rlike(r"\p{L}"), F.col("text")).alias("text"))
+    rows = docs.select(F.struct(*carry).alias("row"), F.when(F.col("text").rlike(LETTER), F.col("text")).alias("text"))
     arrow = pa.schema([("lang_pred", pa.string()), ("score", pa.float64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -177,6 +178,7 @@ def identify(docs: DataFrame) -> DataFrame:
 
 
 def keep_identified(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose language can be told, with all their columns: undetermined texts are rejected."""
+    """The rows of ``docs`` whose text has a letter, with all their columns: null and letterless texts are rejected, and
+    the others stay also where no label was learned."""
     found = predict(docs.withColumn("_row", F.struct(*[F.col(f"`{c}`") for c in docs.columns])), train(docs), [F.col("_row").alias("_row")])
-    return found.filter(F.col("lang_pred") != UNDETERMINED).select("_row.*")
+    return found.filter(F.col("_row.text").rlike(LETTER)).select("_row.*")

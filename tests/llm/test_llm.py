@@ -226,6 +226,11 @@ def test_language_sample_has_every_label(spark):
     assert Counter(k for k, _ in got) == Counter({"many": 300, "hot": 1} | {f"few{i}": 2 for i in range(40)})
 
 
+def test_texts_stay_where_no_language_was_learned(spark):
+    docs = _docs(spark, ["some words", "más", None, "", "12 34"], [None] * 5)
+    assert sorted(r.doc_id for r in langid.keep_identified(docs).collect()) == [0, 1]
+
+
 def test_toxicity(spark):
     rng = random.Random(6)
     words = [f"w{i}" for i in range(200)]
