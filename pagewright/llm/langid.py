@@ -16,19 +16,21 @@ from pyspark.sql import functions as F
 
 from . import gru
 from .bytewords import fold_texts, groups_by_bytes
-from .common import id_crc
+from .common import id_crc, inline_rows
 
 UNDETERMINED = "und"
 LETTER = r"\p{L}"
 FOLDS, HELD_FOLD = 3, 1
-#: Bounds of the training sample: labels, distinct texts of each, characters of a row (from a place drawn by its hash).
-MAX_LABELS = 500
+#: Bounds of the training sample: distinct texts of each label, characters of a row (from a place drawn by its hash). All
+#: labels are learned.
 ROWS_PER_LABEL = 300
 SAMPLE_CHARS = 1200
 HIDDEN = 8
 TRAIN_STEPS, TRAIN_WIDTH, TRAIN_LENGTH = 250, 256, 48
 LENGTH = 128
 GROUP_BYTES = 1 << 19
+#: Label probabilities held at once.
+CELLS = 1 << 24
 
 
 def training_sample(rows: DataFrame, label: Column, text: Column) -> list[tuple[str, str]]:
@@ -37,26 +39,24 @@ def training_sample(rows: DataFrame, label: Column, text: Column) -> list[tuple[
     about four times the rows fall under and keeps one copy of each before the exchange. A label that the bound left
     short is read again in whole."""
     rows = rows.select(label.alias("label"), text.alias("text"), F.xxhash64(text, F.lit(1)).alias("h")).filter("label is not null and length(trim(text)) > 0")
-    counts = {x["label"]: x["n"] for x in rows.groupBy("label").agg(F.approx_count_distinct("h").alias("n")).orderBy(F.desc("n"), "label").limit(MAX_LABELS + 1).collect()}
-    if len(counts) > MAX_LABELS:
-        raise ValueError(f"more than {MAX_LABELS} labels")
-    shares = {k: min(1.0, 4 * ROWS_PER_LABEL / n) for k, n in counts.items()}
-    sample = _smallest(rows, shares) if shares else []
+    many = rows.groupBy("label").agg(F.approx_count_distinct("h").alias("n")).filter(F.col("n") > 4 * ROWS_PER_LABEL)
+    bounds = {x["label"]: 4 * ROWS_PER_LABEL * (1 << 64) // x["n"] - (1 << 63) for x in many.collect()}
+    sample = _smallest(rows, bounds)
     got = Counter(k for k, _ in sample)
-    short = {k: 1.0 for k, share in shares.items() if share < 1 and got[k] < ROWS_PER_LABEL}
+    short = [k for k in bounds if got[k] < ROWS_PER_LABEL]
     if short:
-        sample = [x for x in sample if x[0] not in short] + _smallest(rows, short)
+        again = rows.join(F.broadcast(inline_rows(rows.sparkSession, [(k,) for k in short], "label: string")), "label")
+        sample = [x for x in sample if x[0] not in set(short)] + _smallest(again, {})
     return sorted(sample)
 
 
-def _smallest(rows: DataFrame, shares: dict[str, float]) -> list[tuple[str, str]]:
-    """(label, excerpt) of the ROWS_PER_LABEL distinct texts of the smallest hashes, of those in each label's share of all
-    hashes."""
-    bound = F.lit(None).cast("long")
-    for k, share in shares.items():
-        bound = F.when(F.col("label") == k, F.lit(min((1 << 63) - 1, int(share * (1 << 64)) - (1 << 63)))).otherwise(bound)
+def _smallest(rows: DataFrame, bounds: dict[str, int]) -> list[tuple[str, str]]:
+    """(label, excerpt) of the ROWS_PER_LABEL distinct texts of the smallest hashes, up to the label's bound if any."""
+    if bounds:
+        small = inline_rows(rows.sparkSession, list(bounds.items()), "label: string, bound: long")
+        rows = rows.join(F.broadcast(small), "label", "left").filter("bound is null or h <= bound")
     start = 1 + F.pmod(F.xxhash64("text", F.lit(2)), F.greatest(F.lit(1), F.length("text") - SAMPLE_CHARS))
-    cut = rows.filter(F.col("h") <= bound).select("label", F.col("text").substr(start.cast("int"), F.lit(SAMPLE_CHARS)).alias("text"), "h")
+    cut = rows.select("label", F.col("text").substr(start.cast("int"), F.lit(SAMPLE_CHARS)).alias("text"), "h")
     once = cut.withColumn("copy", F.row_number().over(Window.partitionBy("label", "h").orderBy("text"))).filter("copy = 1")
     top = once.withColumn("turn", F.row_number().over(Window.partitionBy("label").orderBy("h"))).filter(F.col("turn") <= ROWS_PER_LABEL)
     return [(x["label"], x["text"]) for x in top.select("label", "text").collect()]
@@ -94,13 +94,18 @@ class Tagger:
             sf, cf = gru.forward(w["uf"], lambda t, x=x: w["xf"][:, x[t]], steps, width, mask, keep=True)
             sb, cb = gru.forward(w["ub"], lambda t, x=x: w["xb"][:, x[steps - 1 - t]], steps, width, mask[::-1], keep=True)
             both = np.concatenate([sf, sb[::-1]], axis=1)
-            logits = np.einsum("ch,thb->tcb", w["o"], both) + w["ob"]
-            p = np.exp(logits - logits.max(axis=1, keepdims=True))
-            p /= p.sum(axis=1, keepdims=True)
-            p[:, y, np.arange(width)] -= 1
-            d = (p * mask[:, None, :] / mask.sum()).astype(np.float32)
-            grads = {"o": np.einsum("tcb,thb->ch", d, both), "ob": d.sum(axis=(0, 2))[:, None]}
-            dh = np.einsum("ch,tcb->thb", w["o"], d)
+            grads, dh = {"o": np.zeros_like(w["o"]), "ob": np.zeros_like(w["ob"])}, np.empty_like(both)
+            some = max(1, CELLS // (c * width))
+            for at in range(0, steps, some):
+                part = both[at : at + some]
+                logits = np.einsum("ch,thb->tcb", w["o"], part) + w["ob"]
+                p = np.exp(logits - logits.max(axis=1, keepdims=True))
+                p /= p.sum(axis=1, keepdims=True)
+                p[:, y, np.arange(width)] -= 1
+                d = (p * mask[at : at + some, None, :] / mask.sum()).astype(np.float32)
+                grads["o"] += np.einsum("tcb,thb->ch", d, part)
+                grads["ob"] += d.sum(axis=(0, 2))[:, None]
+                dh[at : at + some] = np.einsum("ch,tcb->thb", w["o"], d)
             for name, cache, part, order, m in (("f", cf, dh[:, :h], x, mask), ("b", cb, dh[::-1, h:], x[::-1], mask[::-1])):
                 du, dg = gru.backward(w["u" + name], cache, part, m)
                 seen = order.ravel()
@@ -151,7 +156,8 @@ def predict(docs: DataFrame, tagger: Tagger, carry: list[Column]) -> DataFrame:
         model.labels, model.weights = held.value
         for batch in batches:
             texts = fold_texts(batch.column(1).to_pylist())
-            for lo, hi in groups_by_bytes([len(t) for t in texts], GROUP_BYTES):
+            limit = min(GROUP_BYTES, CELLS // max(1, len(model.labels)) * LENGTH)
+            for lo, hi in groups_by_bytes([-(-len(t) // LENGTH) * LENGTH for t in texts], limit):
                 p = model.probabilities(texts[lo:hi])
                 best = p.argmax(axis=1) if p.shape[1] else np.zeros(hi - lo, np.int64)
                 names = [model.labels[b] if t and model.labels else UNDETERMINED for b, t in zip(best.tolist(), texts[lo:hi], strict=True)]

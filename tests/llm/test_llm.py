@@ -226,6 +226,13 @@ def test_language_sample_has_every_label(spark):
     assert Counter(k for k, _ in got) == Counter({"many": 300, "hot": 1} | {f"few{i}": 2 for i in range(40)})
 
 
+def test_more_labels_than_five_hundred(spark, monkeypatch):
+    monkeypatch.setattr(langid, "TRAIN_STEPS", 20)
+    docs = _docs(spark, [f"text {i} of a noisy table" for i in range(1200)], [f"l{i % 600}" for i in range(1200)])
+    assert len(langid.train(docs).labels) > 500
+    assert langid.identify(docs.limit(50)).filter("lang_pred <> 'und'").count() == 50
+
+
 def test_texts_stay_where_no_language_was_learned(spark):
     docs = _docs(spark, ["some words", "más", None, "", "12 34"], [None] * 5)
     assert sorted(r.doc_id for r in langid.keep_identified(docs).collect()) == [0, 1]
