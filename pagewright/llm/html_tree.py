@@ -22,10 +22,13 @@ from pyspark.sql import functions as F
 TOKEN = re.compile(r"<!--.*?(?:-->|$)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<(?=[^a-zA-Z/!?])|[^<]+|<", re.S)
 ATTRIBUTE = re.compile(r"([^\s=/>]+)\s*(?:=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?")
 #: Elements whose content is never text of the page, read to their end tag as they stand.
-RAW = {"script", "style", "noscript", "template", "iframe", "noembed", "noframes", "xmp"}
+RAW = {"script", "style", "noscript", "template", "iframe", "noembed", "noframes"}
 #: Form parts and head elements: parsed, but without text.
-MUTE = {"textarea", "select", "button", "option", "datalist", "optgroup", "title", "svg", "math", "canvas", "object", "audio", "video", "label", "legend"}
+MUTE = {"textarea", "select", "button", "option", "datalist", "optgroup", "title", "canvas", "audio", "video", "label", "legend", "annotation", "annotation-xml"}
 INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "ins", "kbd", "mark", "q", "rp", "rt", "ruby", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr", "img", "input"}
+#: Formulas, drawings and fallbacks, whose text belongs to the block around it.
+FOREIGN = {"math", "semantics", "maction", "menclose", "merror", "mfenced", "mfrac", "mi", "mmultiscripts", "mn", "mo", "mover", "mpadded", "mphantom", "mprescripts", "mroot", "mrow", "ms", "mspace", "msqrt", "mstyle", "msub", "msubsup", "msup", "mtable", "mtd", "mtext", "mtr", "munder", "munderover", "svg", "defs", "desc", "g", "symbol", "text", "textpath", "tspan", "use", "object"}
+INLINE |= FOREIGN
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 #: Block elements that close an open paragraph.
 CLOSES_P = {"address", "article", "aside", "blockquote", "center", "details", "dialog", "dir", "div", "dl", "fieldset", "figcaption", "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "header", "hgroup", "hr", "main", "menu", "nav", "ol", "p", "pre", "section", "table", "ul"}
@@ -77,11 +80,18 @@ class Page:
                 end = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(source, at)
                 at = end.end() if end else len(source)
                 continue
+            if name == "xmp":
+                end = re.compile(r"</xmp\s*>", re.I).search(source, at)
+                shown = entities.escape(source[at : end.start() if end else len(source)], quote=False)
+                if not mute:
+                    self.runs += [(stack[-1][1], "\0", False), (stack[-1][1], shown, links > 0), (stack[-1][1], "\0", False)]
+                at = end.end() if end else len(source)
+                continue
             if name in VOID:
                 if name in ("br", "hr"):
                     self.runs.append((stack[-1][1], " ", False))
                 continue
-            if m[3].rstrip().endswith("/") and name not in INLINE and name not in CLOSES_P:
+            if m[3].rstrip().endswith("/") and (name in FOREIGN or name not in INLINE and name not in CLOSES_P):
                 continue
             if name in INLINE or name in MUTE:
                 mute += name in MUTE

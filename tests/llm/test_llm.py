@@ -307,6 +307,12 @@ def test_html_extraction(spark):
     assert got == {1: (want, len(want)), 2: ("", 0), 3: ("", 0)}
 
 
+def test_html_keeps_formulas_and_listings(spark):
+    src = '<html><head><title>T</title></head><body><nav><ul><li><a href="/">Home</a></li></ul></nav><article><h1>Big news</h1><p>First and best, the sum <math><mi>a</mi><mo>+</mo><mspace/><mi>b</mi></math> to read and read <svg><text>drawn</text></svg> again <object>instead</object> here.</p><xmp>if a < b &amp; c</xmp><p>Second paragraph, with more of it.</p></article><div class="comments"><p>I disagree, nice post.</p></div><form><p>Log in</p></form><footer>&copy; someone</footer></body></html>'
+    text = html_tree.extract(spark.createDataFrame([(1, "u", src)], "page_id long, url string, html string")).first().text
+    assert text == "Big news First and best, the sum a+b to read and read drawn again instead here. if a < b &amp; c Second paragraph, with more of it."
+
+
 def test_lm_scores(spark, monkeypatch):
     rng = random.Random(7)
     texts = [_prose(rng, 40, ["alpha", "beta", "gamma", "Delta"]) for _ in range(60)] + [None, "", "zz zz"]
