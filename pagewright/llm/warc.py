@@ -180,7 +180,7 @@ class WarcReader(DataSourceReader):
     def pushFilters(self, filters: list) -> Iterator:
         """Takes over equality, IN, prefix and not-null tests on header columns; hands back the others."""
         for f in filters:
-            column = f.attribute[0] if len(f.attribute) == 1 else None if hasattr(f, "attribute") else None
+            column = f.attribute[0] if hasattr(f, "attribute") and len(f.attribute) == 1 else None
             if column in HEADERS and isinstance(f, EqualTo | In | StringStartsWith | IsNotNull):
                 self.tests.append((column, type(f).__name__, getattr(f, "value", None)))
             else:

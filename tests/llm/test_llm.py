@@ -163,6 +163,13 @@ def test_warc(spark, tmp_path):
     assert warc.roundtrip(pages.filter("false")).count() == 0
 
 
+def test_warc_hands_back_other_filters(spark, tmp_path):
+    pages = spark.createDataFrame([(1, "u", "x")], "page_id long, url string, html string")
+    warc.archive_pages(pages, f"file://{tmp_path}/w")
+    kinds = warc.read_archive(spark, f"file://{tmp_path}/w").filter("record_type <> 'warcinfo'").select("record_type").collect()
+    assert "response" in {r.record_type for r in kinds} and "warcinfo" not in {r.record_type for r in kinds}
+
+
 def test_packing(spark):
     texts = ["a b c", None, "", "word " * 5000, "<|endoftext|> x"] + [f"some text {i} " * (i % 90) for i in range(200)]
     rows = packing.pack_documents(_docs(spark, texts)).collect()
