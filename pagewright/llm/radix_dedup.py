@@ -2,8 +2,11 @@
 
 Rows are split by their first bytes, then every part with more than one row by its next bytes, and so on until a part
 is a single row or its texts have ended together. Bytes alone decide equality; no digest does. The digit widens from
-round to round, so that a text of n bytes takes about log(n) exchanges. The counts of a round are combined on the map
-side and stored; rows meet them in an equi-join of its own, whose hot parts adaptive execution splits.
+round to round, so that a text of n bytes takes about log(n) rounds. A part is named by the bytes it was split by, so a
+round needs no more than the count of each part: counts are combined on the map side and those of two rows or more are
+stored. A bounded filter over them tells most rows that are alone where they lie, without an exchange; a row that the
+filter lets through by chance goes on and ends alone. Texts move when their part is counted again, and once more when a
+part of several rows has ended and its rows meet their group in an equi-join, whose hot parts adaptive execution splits.
 """
 
 from __future__ import annotations
@@ -11,70 +14,60 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Table, fold_ascii
+from .common import MaybeIn, Table, fold_ascii
 
 FIRST_DIGIT = 64
-DIGIT_GROWTH = 16
-MAX_DIGIT = 1 << 24
+DIGIT_GROWTH = 64
 
 
-def radix_groups(df: DataFrame, text: Column, order: Column, carry: Column) -> DataFrame:
+def _leading(text: Column, width: int) -> Column:
+    """The first ``width`` bytes of the folded text; as many characters hold them."""
+    head = fold_ascii(F.substring(text, 1, width)).cast("binary")
+    return F.substring(head, 1, width)
+
+
+def radix_groups(df: DataFrame, text: str, order: str) -> DataFrame:
     """Groups of rows with equal texts after lower-casing A-Z.
 
-    Returns ``row`` (the struct given as ``carry``), ``keep_id`` (the largest ``order`` of the group), ``group_size``
-    and ``kept`` (true for exactly one row of each group).
+    Returns ``row`` (the struct of all columns), ``keep_id`` (the largest ``order`` of the group), ``group_size`` and
+    ``kept`` (true for exactly one row of each group).
 
     Null texts count as empty, and all empty texts form one group. Null orders rank lowest. Rows that repeat the
     largest order value are told apart by where they are stored, so one row stays even of wholly repeated rows. An
-    empty table gives an empty result. Columns outside ``carry`` are not read.
+    empty table gives an empty result.
     """
-    body = fold_ascii(text).cast("binary")
+    rows = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"))
+    body, rank = F.col("row").getField(text), F.col("row").getField(order)
+    alone = lambda part: part.select("row", rank.alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"))
     width = FIRST_DIGIT
-    rows = df.select(carry.alias("row"), order.alias("ord"), body.alias("body"))
-    rows = rows.select("row", "ord", F.substring("body", 1, width).alias("digit"), F.expr(f"substring(body, {width + 1})").alias("rest"))
-    counts = Table(rows.groupBy("digit").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "counts").read()
-    first = rows.join(counts, "digit", "left").withColumn("n", F.coalesce("n", F.lit(1).cast("long"))).select(
-        "row", "ord", "n",
-        F.when(F.col("n") > 1, F.col("digit")).alias("part"),
-        F.when(F.col("n") > 1, F.col("rest")).alias("rest"),
-        F.monotonically_increasing_id().alias("rid"),
-    )
-    table = Table(first, "radix")
-    done = [table.read().filter("n = 1").select("row", F.col("ord").alias("keep_id"), F.col("n").alias("group_size"), F.lit(True).alias("kept"))]
-    active = table.read().filter("n > 1").select("row", "ord", "part", "rest", "rid")
+    counts = Table(rows.groupBy(_leading(body, width).alias("digit")).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("digit"), "counts")
+    maybe, single = MaybeIn(counts.read(), "digit").split(rows, _leading(body, width))
+    active = Table(maybe.select("row", F.monotonically_increasing_id().alias("rid")), "radix").read()
+    result = alone(single)
+    ended = lambda w: F.coalesce(F.octet_length(body), F.lit(0)) <= w
     while not active.isEmpty():
-        width = min(MAX_DIGIT, width * DIGIT_GROWTH)
-        key = ["part", "digit", "ended"]
-        rows = active.select(
-            "row", "ord", "rid", "part", F.substring("rest", 1, width).alias("digit"),
-            (F.length("rest") <= width).alias("ended"), F.expr(f"substring(rest, {width + 1})").alias("rest"),
-        )
-        counts = Table(rows.groupBy(*key).agg(F.count(F.lit(1)).alias("n"), F.max(F.struct("ord", "rid")).alias("top")), "counts").read()
-        over = F.col("ended") | (F.col("n") == 1)
-        split = rows.join(counts, key).select(
-            "row", "ord", "rid", "n", over.alias("over"), F.col("top.ord").alias("top_ord"), F.col("top.rid").alias("top_rid"),
-            F.when(~over, F.col("top.rid").cast("string").cast("binary")).alias("part"), F.when(~over, F.col("rest")).alias("rest"),
-        )
-        table = Table(split, "radix")
-        done.append(table.read().filter("over").select("row", F.col("top_ord").alias("keep_id"), F.col("n").alias("group_size"), (F.col("rid") == F.col("top_rid")).alias("kept")))
-        active = table.read().filter("not over").select("row", "ord", "part", "rest", "rid")
-    result = done[0]
-    for part in done[1:]:
-        result = result.unionByName(part)
+        width *= DIGIT_GROWTH
+        parts = active.groupBy(_leading(body, width).alias("digit"), ended(width).alias("ended"))
+        parts = parts.agg(F.count(F.lit(1)).alias("n"), F.max(F.struct(rank.alias("ord"), F.col("rid"))).alias("top")).filter("n > 1")
+        parts = Table(parts, "counts").read()
+        maybe, single = MaybeIn(parts, "digit", "ended").split(active, _leading(body, width), ended(width))
+        over = maybe.filter(ended(width)).join(parts.filter("ended").hint("merge"), _leading(body, width) == F.col("digit"), "left")
+        over = over.select("row", F.when(F.col("n").isNull(), rank).otherwise(F.col("top.ord")).alias("keep_id"), F.coalesce("n", F.lit(1).cast("long")).alias("group_size"), F.coalesce(F.col("rid") == F.col("top.rid"), F.lit(True)).alias("kept"))
+        result = result.unionByName(alone(single)).unionByName(over)
+        active = Table(maybe.filter(~ended(width)), "radix").read()
     return result
 
 
 def exact_duplicates(docs: DataFrame) -> DataFrame:
     """One row per document: doc_id, keep_id, group_size, kept, text_sha256 (of the folded text, UTF-8)."""
-    digest = F.sha2(fold_ascii(F.col("text")).cast("binary"), 256)
-    groups = radix_groups(docs, F.col("text"), F.col("doc_id"), F.struct(F.col("doc_id").alias("doc_id"), digest.alias("text_sha256")))
-    return groups.select("row.doc_id", "keep_id", "group_size", "kept", "row.text_sha256")
+    groups = radix_groups(docs.select("doc_id", "text"), "text", "doc_id")
+    digest = F.sha2(fold_ascii(F.col("row.text")).cast("binary"), 256)
+    return groups.select("row.doc_id", "keep_id", "group_size", "kept", digest.alias("text_sha256"))
 
 
 def drop_exact_duplicates(docs: DataFrame) -> DataFrame:
     """The rows that stay, with all their columns: of equal texts the one with the largest doc_id."""
-    groups = radix_groups(docs, F.col("text"), F.col("doc_id"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]))
-    return groups.filter("kept").select("row.*")
+    return radix_groups(docs, "text", "doc_id").filter("kept").select("row.*")
 
 
 ORACLE = """
