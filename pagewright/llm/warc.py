@@ -37,7 +37,7 @@ MIN_REVISIT_BYTES = 100
 SALTS = 16
 
 
-def _store(path: str) -> tuple[pafs.FileSystem, str]:
+def store_of(path: str) -> tuple[pafs.FileSystem, str]:
     if "://" not in path and not path.startswith("file:"):
         return pafs.LocalFileSystem(), path
     return pafs.FileSystem.from_uri(path.replace("file:/", "file:///", 1) if path.startswith("file:/") and not path.startswith("file://") else path)
@@ -70,7 +70,7 @@ class WarcWriter(DataSourceWriter):
         self.path, self.roll = path, roll
 
     def write(self, rows: Iterator) -> Written:
-        fs, root = _store(self.path)
+        fs, root = store_of(self.path)
         fs.create_dir(root, recursive=True)
         files, out, size = [], None, 0
         for row in rows:
@@ -91,13 +91,13 @@ class WarcWriter(DataSourceWriter):
 
     def commit(self, messages: list) -> None:
         """Only the files of attempts that count get their final names, which is what the reader lists."""
-        fs, _ = _store(self.path)
+        fs, _ = store_of(self.path)
         for message in messages:
             for f in message.files if message else []:
                 fs.move(f + ".part", f)
 
     def abort(self, messages: list) -> None:
-        fs, _ = _store(self.path)
+        fs, _ = store_of(self.path)
         for message in messages:
             for f in message.files if message else []:
                 fs.delete_file(f + ".part")
@@ -187,7 +187,7 @@ class WarcReader(DataSourceReader):
                 yield f
 
     def partitions(self) -> list[WarcFile]:
-        fs, root = _store(self.path)
+        fs, root = store_of(self.path)
         found = fs.get_file_info(pafs.FileSelector(root, recursive=True, allow_not_found=True))
         return [WarcFile(x.path) for x in sorted(found, key=lambda x: x.path) if x.is_file and x.path.endswith((".warc", ".warc.gz"))]
 
@@ -201,7 +201,7 @@ class WarcReader(DataSourceReader):
     def read(self, partition: WarcFile) -> Iterator[pa.RecordBatch]:
         if partition is None or getattr(partition, "path", None) is None:
             return
-        fs, _ = _store(self.path)
+        fs, _ = store_of(self.path)
         fields = [x.split()[0] for x in SCHEMA.replace("\n", "").split(",")]
         kinds = [pa.int64() if f.endswith("_bytes") else pa.binary() if f == "payload" else pa.string() for f in fields]
         schema = pa.schema(list(zip(fields, kinds, strict=True)))
