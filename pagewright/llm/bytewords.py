@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 FOLD = np.arange(256, dtype=np.uint8)
 FOLD[65:91] += 32
@@ -93,6 +97,14 @@ def fold_texts(texts: list[str | None]) -> list[bytes]:
     return [b"" if t is None else t.encode("utf-8", "surrogatepass").translate(FOLD_TABLE) for t in texts]
 
 
+def folded_slices(column: pa.Array, limit: int) -> Iterator[tuple[int, int, list[bytes]]]:
+    """(first, last + 1, folded texts) of a string column, about ``limit`` bytes at a time, so that memory holds no more
+    than the batch and one slice. Bytes pass as they are, whether they are UTF-8 or not."""
+    raw = column.cast(pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary())
+    for lo, hi in groups_by_bytes(pc.fill_null(pc.binary_length(raw), 0).to_pylist(), limit):
+        yield lo, hi, [b"" if t is None else t.translate(FOLD_TABLE) for t in raw.slice(lo, hi - lo).to_pylist()]
+
+
 def words_of(texts: list[bytes], kind: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, bytes]:
     """Words of many texts: hashes, starts, ends, pointers (words of text i: pointers[i] to pointers[i + 1]) and the
     buffer in which the starts and ends lie."""

@@ -24,8 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bytewords import TERM, fold_texts, groups_by_bytes, mix, words_of
-from .common import Table
+from .bytewords import TERM, fold_texts, folded_slices, mix, words_of
+from .common import MaybeIn, Table, without
 from .components import connected_components
 
 WORDS = 5
@@ -41,7 +41,9 @@ CANDIDATE = 0.62
 INNER, OUTER = 0.78, 0.42
 #: Heavy nodes (some 50 bytes each) up to which their pivots are broadcast; more are joined by merging.
 BROADCAST_NODES = 1 << 17
+#: Sets, and grams of sets, that one block of the exact comparison holds about.
 BLOCK = 512
+BLOCK_GRAMS = 1 << 20
 COLUMNS = 4096
 GROUP_BYTES = 1 << 19
 
@@ -125,16 +127,17 @@ def similarity(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return 1 - 2 * np.bitwise_count(a ^ b).sum(axis=-1, dtype=np.int64) / MINWISE
 
 
-SETS = "rid long, sig binary, n int, coords binary, sketch binary"
-SETS_ARROW = pa.schema([("rid", pa.int64()), ("sig", pa.binary()), ("n", pa.int32()), ("coords", pa.binary()), ("sketch", pa.binary())])
+SETS = "sig binary, n int, coords binary, sketch binary"
+SETS_ARROW = [("sig", pa.binary()), ("n", pa.int32()), ("coords", pa.binary()), ("sketch", pa.binary())]
 
 
 def _embed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(rid, text) -> signature of the set, its size, path coordinates and sketch; all empty for empty sets."""
+    """Rows that end in a text -> their other columns, signature of the set, its size, path coordinates and sketch; all
+    empty for empty sets."""
     for batch in batches:
-        rids, texts = batch.column(0), fold_texts(batch.column(1).to_pylist())
-        for lo, hi in groups_by_bytes([len(t) for t in texts], GROUP_BYTES):
-            grams, ptr = shingles(texts[lo:hi])
+        carry, schema = batch.columns[:-1], pa.schema([*list(batch.schema)[:-1], *SETS_ARROW])
+        for lo, hi, texts in folded_slices(batch.columns[-1], GROUP_BYTES):
+            grams, ptr = shingles(texts)
             values = minwise(grams, ptr)
             bits, coords = sketch_bits(values), np.ascontiguousarray(values[:, :COORDS])
             n = np.diff(ptr)
@@ -145,12 +148,12 @@ def _embed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     s[filled] = np.add.reduceat(mix(grams ^ np.uint64(salt)), ptr[:-1][filled])
             row = {int(d): i for i, d in enumerate(filled)}
             yield pa.RecordBatch.from_arrays([
-                rids.slice(lo, hi - lo),
+                *(c.slice(lo, hi - lo) for c in carry),
                 pa.array([sums[0][d].tobytes() + sums[1][d].tobytes() if d in row else None for d in range(hi - lo)], pa.binary()),
                 pa.array(n.astype(np.int32)),
                 pa.array([coords[row[d]].tobytes() if d in row else None for d in range(hi - lo)], pa.binary()),
                 pa.array([bits[row[d]].tobytes() if d in row else None for d in range(hi - lo)], pa.binary()),
-            ], schema=SETS_ARROW)
+            ], schema=schema)
 
 
 NODES = "path long, id long, coords binary, sketch binary"
@@ -356,26 +359,36 @@ def _exact(threshold: float):
     return run
 
 
-def similar_classes(rows: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
-    """Per stored row (rid, doc_id, text; rid unique): rid, doc_id, class_id, n_links, n_copies, keep_rid.
+def similar_classes(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
+    """Per row of ``docs`` (doc_id of any type, text): rid, doc_id, h, class_id, n_links, n_copies, keep_rid.
 
-    ``class_id``: the smallest doc_id of the connected component of links, equal sets included. ``n_links``: how many
-    other distinct sets have a Jaccard similarity of at least ``threshold`` with the row's. ``n_copies``: rows whose set
-    is equal, itself included. ``keep_rid``: the row of the component that stays, the one with the smallest doc_id.
-    Texts without words have no set: each is a class of its own, without links. Texts of fewer than five words are one
-    gram. Null ids rank lowest; a component of null ids alone has a null class_id.
+    ``rid``: a number given to the row here; ``h``: a hash of its text. ``class_id``: the smallest doc_id of the connected
+    component of links, equal sets included. ``n_links``: how many other distinct sets have a Jaccard similarity of at
+    least ``threshold`` with the row's. ``n_copies``: rows whose set is equal, itself included. ``keep_rid``: the row of
+    the component that stays, the one with the smallest doc_id. Texts without words have no set: each is a class of its
+    own, without links. Texts of fewer than five words are one gram. Null ids rank lowest; a component of null ids alone
+    has a null class_id.
+
+    Texts are read twice, for their sets and for the exact comparison; the second time only those of candidate groups
+    move, found again by doc_id and ``h``.
     """
-    sets = Table(rows.select("rid", "text").mapInArrow(_embed, SETS), "sets").read()
-    ids = rows.select("rid", "doc_id")
+    key = [F.col("doc_id"), F.xxhash64("text")]
+    narrow = docs.select(F.monotonically_increasing_id().alias("rid"), "doc_id", key[1].alias("h"), "text")
+    schema = narrow.drop("text").schema.simpleString()[len("struct<") : -1]
+    sets = Table(narrow.mapInArrow(_embed, f"{schema}, {SETS}"), "sets").read()
     filled = sets.filter("n > 0")
     classes = Table(filled.groupBy("sig").agg(F.min("rid").alias("id"), F.count(F.lit(1)).alias("n_copies")), "classes").read()
     leaders = filled.join(classes.select(F.col("id").alias("rid")), "rid", "left_semi").withColumnRenamed("rid", "id")
-    leaders = Table(leaders.select("id", "coords", "sketch"), "leaders").read()
+    leaders = Table(leaders.select("id", "doc_id", "h", "n", "coords", "sketch"), "leaders").read()
     groups = Table(connected_components(candidate_edges(leaders, runs_for(recall, threshold))), "groups").read()
-    sizes = Table(groups.groupBy("root").agg(F.count(F.lit(1)).alias("size")), "sizes").read()
-    members = groups.join(sizes, "root").withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int"))
-    members = members.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    texts = rows.select(F.col("rid").alias("node"), "text").join(members.hint("merge"), "node")  # one exchange of the texts at every size
+    named = Table(groups.join(leaders.select(F.col("id").alias("node"), "doc_id", "h", "n"), "node"), "members").read()
+    blocks = F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK, F.sum("n") / BLOCK_GRAMS)).cast("int")
+    sizes = Table(named.groupBy("root").agg(blocks.alias("blocks")), "sizes").read()
+    named = named.join(sizes, "root").select("node", "root", "blocks", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block"), "doc_id", "h")
+    maybe, _ = MaybeIn(named, "doc_id", "h").split(docs.select("doc_id", "text"), *key)
+    named = named.withColumnsRenamed({"doc_id": "_doc", "h": "_h"})
+    same = F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.xxhash64("text") == F.col("_h"))
+    texts = maybe.join(named.hint("merge"), same).groupBy("node", "root", "block", "blocks").agg(F.any_value("text").alias("text"))  # repeated rows have one text
     placed = texts.select("root", "block", "text", F.col("node").alias("id"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
     placed = placed.select("root", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "id", "text")
     compared = placed.repartition("root", "low", "high").sortWithinPartitions("root", "low", "high").mapInArrow(_exact(threshold), "id long, links long, a long, b long")
@@ -383,24 +396,33 @@ def similar_classes(rows: DataFrame, threshold: float = THRESHOLD, recall: float
     links = compared.filter("id is not null").groupBy("id").agg(F.sum("links").alias("n_links"))
     parts = connected_components(compared.filter("id is null").select("a", "b")).withColumnRenamed("node", "id")
     classes = classes.join(links, "id", "left").join(parts, "id", "left").select("sig", "n_copies", F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("root", "id").alias("root"))
-    known = Table(filled.select("rid", "sig").join(ids, "rid").join(classes, "sig").select("rid", "doc_id", "n_copies", "n_links", "root"), "members").read()
+    known = Table(filled.select("rid", "doc_id", "h", "sig").join(classes, "sig").select("rid", "doc_id", "h", "n_copies", "n_links", "root"), "known").read()
     best = Table(known.groupBy("root").agg(F.min(F.struct("doc_id", "rid")).alias("first"), F.min("doc_id").alias("class_id")), "best").read()
-    linked = known.join(best, "root").select("rid", "doc_id", "class_id", "n_links", "n_copies", F.col("first.rid").alias("keep_rid"))
-    alone = ids.join(sets.filter("n = 0").select("rid"), "rid", "left_semi").select("rid", "doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"), F.lit(1).cast("long").alias("n_copies"), F.col("rid").alias("keep_rid"))
+    linked = known.join(best, "root").select("rid", "doc_id", "h", "class_id", "n_links", "n_copies", F.col("first.rid").alias("keep_rid"))
+    alone = sets.filter("n = 0").select("rid", "doc_id", "h", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"), F.lit(1).cast("long").alias("n_copies"), F.col("rid").alias("keep_rid"))
     return linked.unionByName(alone)
 
 
 def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
     """One row per document: doc_id, class_id, n_links, n_copies."""
-    rows = Table(docs.select(F.monotonically_increasing_id().alias("rid"), F.col("doc_id").cast("long").alias("doc_id"), "text"), "rows").read()
-    return similar_classes(rows, threshold, recall).select("doc_id", "class_id", "n_links", "n_copies")
+    return similar_classes(docs, threshold, recall).select("doc_id", "class_id", "n_links", "n_copies")
 
 
 def drop_near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
-    """One row of each group of linked documents, with all columns; texts without words all stay."""
-    stored = Table(docs.select(F.monotonically_increasing_id().alias("rid"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")), "rows").read()
-    found = similar_classes(stored.select("rid", F.col("row.doc_id").cast("long").alias("doc_id"), F.col("row.text").alias("text")), threshold, recall)
-    return stored.join(found.filter("rid <> keep_rid").select("rid"), "rid", "left_anti").select("row.*")
+    """One row of each group of linked documents, with all columns; texts without words all stay. Rows are named by doc_id
+    and a hash of the text; where rows repeat both and one of them stays, any one of them is taken."""
+    found = similar_classes(docs, threshold, recall)
+    some = found.groupBy("doc_id", "h").agg(F.count_if(F.col("rid") != F.col("keep_rid")).alias("gone"), F.count_if(F.col("rid") == F.col("keep_rid")).alias("stays")).filter("gone > 0")
+    gone = Table(some, "dropped").read()
+    key = [F.col("doc_id"), F.xxhash64("text")]
+    left = without(docs, gone, ["doc_id", "h"], key)
+    repeated = gone.filter("stays > 0")
+    if repeated.isEmpty():
+        return left
+    maybe, _ = MaybeIn(repeated, "doc_id", "h").split(docs, *key)
+    keyed = maybe.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), key[0].alias("_doc"), key[1].alias("_h"))
+    again = keyed.join(repeated.hint("merge"), F.col("_doc").eqNullSafe(F.col("doc_id")) & (F.col("_h") == F.col("h")), "left_semi")
+    return left.unionByName(again.groupBy("_doc", "_h").agg(F.any_value("row").alias("row")).select("row.*"))
 
 
 ORACLE = r"""

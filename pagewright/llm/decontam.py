@@ -19,8 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
-from .bytewords import TERM, fold_texts, groups_by_bytes, words_of
-from .common import Table
+from .bytewords import TERM, fold_texts, folded_slices, words_of
+from .common import Table, without
 
 WINDOW = 13
 #: Bytes of folded text in a segment, and windows that are held and broadcast at once.
@@ -30,15 +30,16 @@ GAP = 64
 #: Share of a document's words that must be hit: one in MIN_SHARE.
 MIN_SHARE = 20
 
-INDEX_SCHEMA = "rids array<long>, ids array<long>, n_words array<long>, base array<long>, terms binary, starts binary, places binary"
-INDEX_ARROW = pa.schema([(c, pa.list_(pa.int64())) for c in ("rids", "ids", "n_words", "base")] + [(c, pa.binary()) for c in ("terms", "starts", "places")])
+INDEX_SCHEMA = "rids array<long>, ids array<string>, n_words array<long>, base array<long>, terms binary, starts binary, places binary"
+INDEX_ARROW = pa.schema([("rids", pa.list_(pa.int64())), ("ids", pa.list_(pa.string()))] + [(c, pa.list_(pa.int64())) for c in ("n_words", "base")] + [(c, pa.binary()) for c in ("terms", "starts", "places")])
 
 
 def build_index(docs: DataFrame, vocabulary: np.ndarray | None = None) -> DataFrame:
-    """Segments over rows of rid, doc_id, text; ``vocabulary``: sorted term hashes to index, None for all."""
+    """Segments over rows of rid, doc_id, text (ids are held as text); ``vocabulary``: sorted term hashes to index, None for
+    all."""
     held = docs.sparkSession.sparkContext.broadcast(vocabulary)
 
-    def segment(rids: list[int], ids: list[int], texts: list[bytes]) -> dict:
+    def segment(rids: list[int], ids: list[str], texts: list[bytes]) -> dict:
         hashes, _, _, ptr, _ = words_of(texts, TERM)
         sizes = np.diff(ptr)
         base = np.concatenate([[0], np.cumsum(sizes + GAP)])[:-1]
@@ -56,18 +57,18 @@ def build_index(docs: DataFrame, vocabulary: np.ndarray | None = None) -> DataFr
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rids, ids, texts, size = [], [], [], 0
         for batch in batches:
-            for rid, doc, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), fold_texts(batch.column(2).to_pylist()), strict=True):
-                rids.append(rid)
-                ids.append(doc)
-                texts.append(t)
-                size += len(t) + GAP
+            for lo, hi, part in folded_slices(batch.column(2), SEGMENT_BYTES // 4):
+                rids += batch.column(0).slice(lo, hi - lo).to_pylist()
+                ids += batch.column(1).slice(lo, hi - lo).to_pylist()
+                texts += part
+                size += sum(map(len, part)) + GAP * len(part)
                 if size >= SEGMENT_BYTES:
                     yield pa.RecordBatch.from_pylist([segment(rids, ids, texts)], INDEX_ARROW)
                     rids, ids, texts, size = [], [], [], 0
         if rids:
             yield pa.RecordBatch.from_pylist([segment(rids, ids, texts)], INDEX_ARROW)
 
-    return docs.select("rid", "doc_id", "text").mapInArrow(run, INDEX_SCHEMA)
+    return docs.select("rid", F.col("doc_id").cast("string"), "text").mapInArrow(run, INDEX_SCHEMA)
 
 
 class Segment:
@@ -150,7 +151,7 @@ def _blocks(benchmark: DataFrame) -> Iterator[list[tuple[str, np.ndarray]]]:
         yield item_windows(rows)
 
 
-HITS_SCHEMA = "rid long, doc_id long, n_words long, spans array<long>, items array<string>"
+HITS_SCHEMA = "rid long, doc_id string, n_words long, spans array<long>, items array<string>"
 
 
 def match_segments(index: DataFrame, windows: list[tuple[str, np.ndarray]]) -> DataFrame:
@@ -160,7 +161,7 @@ def match_segments(index: DataFrame, windows: list[tuple[str, np.ndarray]]) -> D
     widths = sorted({len(w) for _, w in windows})
     tables = [(n, np.stack([w for _, w in windows if len(w) == n]), [i for i, w in windows if len(w) == n]) for n in widths]
     held = spark.sparkContext.broadcast(tables)
-    arrow = pa.schema([("rid", pa.int64()), ("doc_id", pa.int64()), ("n_words", pa.int64()), ("spans", pa.list_(pa.int64())), ("items", pa.list_(pa.string()))])
+    arrow = pa.schema([("rid", pa.int64()), ("doc_id", pa.string()), ("n_words", pa.int64()), ("spans", pa.list_(pa.int64())), ("items", pa.list_(pa.string()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -197,7 +198,7 @@ def match_segments(index: DataFrame, windows: list[tuple[str, np.ndarray]]) -> D
 def proximity_matches(index: DataFrame, phrases: list[tuple[str, str]], width: int = WINDOW) -> DataFrame:
     """(rid, doc_id, item, place): documents in which all terms of a phrase stand within ``width`` words of its rarest term."""
     tables = [(name, words_of(fold_texts([text]), TERM)[0]) for name, text in phrases]
-    arrow = pa.schema([("rid", pa.int64()), ("doc_id", pa.int64()), ("item", pa.string()), ("place", pa.int64())])
+    arrow = pa.schema([("rid", pa.int64()), ("doc_id", pa.string()), ("item", pa.string()), ("place", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -210,12 +211,12 @@ def proximity_matches(index: DataFrame, phrases: list[tuple[str, str]], width: i
                         own = seg.owner(found)
                         yield pa.RecordBatch.from_pydict({"rid": [row["rids"][d] for d in own.tolist()], "doc_id": [row["ids"][d] for d in own.tolist()], "item": [name] * len(found), "place": (found - seg.base[own]).tolist()}, arrow)
 
-    return index.mapInArrow(run, "rid long, doc_id long, item string, place long")
+    return index.mapInArrow(run, "rid long, doc_id string, item string, place long")
 
 
 def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Spans of all blocks become counts."""
-    arrow = pa.schema([("rid", pa.int64()), ("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_hit", pa.int64()), ("n_items", pa.int64()), ("items_sha256", pa.string()), ("contaminated", pa.bool_())])
+    arrow = pa.schema([("rid", pa.int64()), ("doc_id", pa.string()), ("n_words", pa.int64()), ("n_hit", pa.int64()), ("n_items", pa.int64()), ("items_sha256", pa.string()), ("contaminated", pa.bool_())])
     for batch in batches:
         out: list[dict] = []
         for row in batch.to_pylist():
@@ -228,7 +229,7 @@ def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_pylist(out, arrow)
 
 
-DIGEST_SCHEMA = "rid long, doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean"
+DIGEST_SCHEMA = "rid long, doc_id string, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean"
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -236,7 +237,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
     Null and wordless texts have no words and are clean; null and wordless benchmark texts have no windows. With no
     windows at all every row is clean. Repeated items and rows count as they stand. Where all windows fit one block,
-    only their terms are indexed; else all terms are, and the blocks' spans meet by ``rid``, which must be unique then.
+    only their terms are indexed; else all terms are, and the blocks' spans meet by ``rid`` and ``doc_id``: rows that
+    share both must have equal texts, and give one row then. Ids may be of any type and come back in it.
     """
     blocks = _blocks(benchmark)
     first, second = next(blocks, []), next(blocks, None)
@@ -250,22 +252,24 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         together = parts[0]
         for p in parts[1:]:
             together = together.unionByName(p)
-        hits = together.groupBy("rid").agg(F.first("doc_id").alias("doc_id"), F.first("n_words").alias("n_words"), F.flatten(F.collect_list("spans")).alias("spans"), F.flatten(F.collect_list("items")).alias("items"))
-    return hits.mapInArrow(_digest, DIGEST_SCHEMA)
+        hits = together.groupBy("rid", "doc_id").agg(F.first("n_words").alias("n_words"), F.flatten(F.collect_list("spans")).alias("spans"), F.flatten(F.collect_list("items")).alias("items"))
+    found = hits.mapInArrow(_digest, DIGEST_SCHEMA)
+    return found.withColumn("doc_id", F.col("doc_id").cast(docs.schema["doc_id"].dataType))
 
 
 def contaminated_documents(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The contract's row per document: doc_id, n_words, n_hit, n_items, items_sha256, contaminated."""
-    rows = docs.select(F.monotonically_increasing_id().alias("rid"), F.col("doc_id").cast("long").alias("doc_id"), "text")
+    rows = docs.select(F.monotonically_increasing_id().alias("rid"), "doc_id", "text")
     return contamination(rows, benchmark).drop("rid")
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The clean rows of ``docs`` with all their columns. Row ids are stored with the rows before they are joined on."""
-    stored = Table(docs.select(F.monotonically_increasing_id().alias("rid"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")), "rows")
-    rows = stored.read()
-    bad = contamination(rows.select("rid", F.col("row.doc_id").cast("long").alias("doc_id"), F.col("row.text").alias("text")), benchmark).filter("contaminated").select("rid")
-    return rows.join(bad, "rid", "left_anti").select("row.*")
+    """The clean rows of ``docs`` with all their columns, repeated ones as often as they stand. The verdict on a row
+    depends on its text alone, so contaminated rows are named by doc_id and a hash of the text, and no row is stored."""
+    key = [F.col("doc_id"), F.xxhash64("text")]
+    found = contamination(docs.select(key[1].alias("rid"), "doc_id", "text"), benchmark)
+    bad = Table(found.filter("contaminated").select("doc_id", "rid").distinct(), "contaminated").read()
+    return without(docs, bad, ["doc_id", "rid"], key)
 
 
 ORACLE = r"""

@@ -15,16 +15,16 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import gru
-from .bytewords import fold_texts, groups_by_bytes
+from .bytewords import fold_texts, folded_slices
 from .common import id_crc, inline_rows
 
 UNDETERMINED = "und"
 LETTER = r"\p{L}"
 FOLDS, HELD_FOLD = 3, 1
-#: Bounds of the training sample: distinct texts of each label, characters of a row (from a place drawn by its hash). All
-#: labels are learned.
+#: Bounds of the training sample: distinct texts of each label, all labels, whole texts; a row follows while those of its
+#: label before it have less than LABEL_CHARS characters.
 ROWS_PER_LABEL = 300
-SAMPLE_CHARS = 1200
+LABEL_CHARS = 1_000_000
 HIDDEN = 8
 TRAIN_STEPS, TRAIN_WIDTH, TRAIN_LENGTH = 250, 256, 48
 LENGTH = 128
@@ -51,14 +51,14 @@ def training_sample(rows: DataFrame, label: Column, text: Column) -> list[tuple[
 
 
 def _smallest(rows: DataFrame, bounds: dict[str, int]) -> list[tuple[str, str]]:
-    """(label, excerpt) of the ROWS_PER_LABEL distinct texts of the smallest hashes, up to the label's bound if any."""
+    """(label, text) of the ROWS_PER_LABEL distinct texts of the smallest hashes, up to the label's bound if any."""
     if bounds:
         small = inline_rows(rows.sparkSession, list(bounds.items()), "label: string, bound: long")
         rows = rows.join(F.broadcast(small), "label", "left").filter("bound is null or h <= bound")
-    start = 1 + F.pmod(F.xxhash64("text", F.lit(2)), F.greatest(F.lit(1), F.length("text") - SAMPLE_CHARS))
-    cut = rows.select("label", F.col("text").substr(start.cast("int"), F.lit(SAMPLE_CHARS)).alias("text"), "h")
-    once = cut.withColumn("copy", F.row_number().over(Window.partitionBy("label", "h").orderBy("text"))).filter("copy = 1")
+    once = rows.withColumn("copy", F.row_number().over(Window.partitionBy("label", "h").orderBy("text"))).filter("copy = 1")
     top = once.withColumn("turn", F.row_number().over(Window.partitionBy("label").orderBy("h"))).filter(F.col("turn") <= ROWS_PER_LABEL)
+    before = Window.partitionBy("label").orderBy("h").rowsBetween(Window.unboundedPreceding, -1)
+    top = top.withColumn("before", F.coalesce(F.sum(F.length("text")).over(before), F.lit(0))).filter(F.col("before") < LABEL_CHARS)
     return [(x["label"], x["text"]) for x in top.select("label", "text").collect()]
 
 
@@ -116,7 +116,7 @@ class Tagger:
 
     def probabilities(self, texts: list[bytes]) -> np.ndarray:
         """Mean label probabilities over all positions of each text; zeros for empty ones."""
-        w, c = self.weights, len(self.labels)
+        c = len(self.labels)
         out = np.zeros((len(texts), c))
         sizes = np.fromiter((len(t) for t in texts), np.int64, len(texts))
         pieces = -(-sizes // LENGTH)
@@ -128,6 +128,17 @@ class Tagger:
         start = np.concatenate([[0], np.cumsum(sizes)])[:-1][owner] + order * LENGTH
         length = np.minimum(LENGTH, sizes[owner] - order * LENGTH)
         data = np.frombuffer(b"".join(texts) + bytes(LENGTH), np.uint8)
+        block = max(1, min(GROUP_BYTES // LENGTH, CELLS // c))
+        for at in range(0, total, block):  # the pieces of a long text come in blocks too
+            part = slice(at, at + block)
+            sums = self._sums(data, start[part], length[part])
+            for k in range(c):
+                out[:, k] += np.bincount(owner[part], sums[k], len(texts))
+        return out / np.maximum(1, sizes)[:, None]
+
+    def _sums(self, data: np.ndarray, start: np.ndarray, length: np.ndarray) -> np.ndarray:
+        """Label probabilities of pieces, summed over their positions."""
+        w, c, total = self.weights, len(self.labels), len(start)
         x = np.ascontiguousarray(data[start[None, :] + np.arange(LENGTH)[:, None]]).astype(np.intp)
         mask = (np.arange(LENGTH)[:, None] < length[None, :]).astype(np.float32)
         forward = gru.forward(w["uf"], lambda t: np.take(w["xf"], x[t], axis=1, mode="clip"), LENGTH, total)
@@ -139,9 +150,7 @@ class Tagger:
             np.exp(p, out=p)
             p *= mask[t] / p.sum(axis=0)
             sums += p
-        for k in range(c):
-            out[:, k] = np.bincount(owner, sums[k], len(texts))
-        return out / np.maximum(1, sizes)[:, None]
+        return sums
 
 
 def predict(docs: DataFrame, tagger: Tagger, carry: list[Column]) -> DataFrame:
@@ -155,12 +164,10 @@ def predict(docs: DataFrame, tagger: Tagger, carry: list[Column]) -> DataFrame:
         model = Tagger([])
         model.labels, model.weights = held.value
         for batch in batches:
-            texts = fold_texts(batch.column(1).to_pylist())
-            limit = min(GROUP_BYTES, CELLS // max(1, len(model.labels)) * LENGTH)
-            for lo, hi in groups_by_bytes([-(-len(t) // LENGTH) * LENGTH for t in texts], limit):
-                p = model.probabilities(texts[lo:hi])
+            for lo, hi, texts in folded_slices(batch.column(1), GROUP_BYTES):
+                p = model.probabilities(texts)
                 best = p.argmax(axis=1) if p.shape[1] else np.zeros(hi - lo, np.int64)
-                names = [model.labels[b] if t and model.labels else UNDETERMINED for b, t in zip(best.tolist(), texts[lo:hi], strict=True)]
+                names = [model.labels[b] if t and model.labels else UNDETERMINED for b, t in zip(best.tolist(), texts, strict=True)]
                 score = p[np.arange(hi - lo), best] if p.shape[1] else np.zeros(hi - lo)
                 score = np.clip(score, 0, 1)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(names), pa.array(score)], schema=pa.schema([batch.schema.field(0), *arrow]))

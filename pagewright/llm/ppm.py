@@ -22,10 +22,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .bytewords import NONSPACE, fold_texts, groups_by_bytes, mix, words_of
+from .bytewords import NONSPACE, folded_slices, groups_by_bytes, mix, words_of
 from .common import Table, id_crc, scratch_path
 from .warc import store_of
 
@@ -116,14 +117,14 @@ def corpus_counts(rows: DataFrame) -> DataFrame:
             return _sum_by(np.concatenate([k for k, _ in held[kind]]), np.concatenate([n for _, n in held[kind]]))
 
         def found(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-            texts, out = fold_texts(batch.column(0).to_pylist()), batch.column(1).to_numpy(zero_copy_only=False)
             for learn in (True, False):
-                own = [t for t, o in zip(texts, out, strict=True) if o != learn]
-                for packed, _, _ in _blocks(own, GROUP_BYTES):
-                    keys, n = np.unique(packed, return_counts=True)
-                    yield 0, keys, n * learn
-                for lo, hi in groups_by_bytes([len(t) for t in own], GROUP_BYTES) if learn else ():
-                    yield 1, *np.unique(words_of(own[lo:hi], NONSPACE)[0], return_counts=True)
+                own = batch.column(0).filter(pc.equal(batch.column(1), not learn))
+                for _, _, texts in folded_slices(own, GROUP_BYTES):
+                    for packed, _, _ in _blocks(texts, GROUP_BYTES):
+                        keys, n = np.unique(packed, return_counts=True)
+                        yield 0, keys, n * learn
+                    if learn:
+                        yield 1, *np.unique(words_of(texts, NONSPACE)[0], return_counts=True)
 
         for batch in batches:
             ends += int((~batch.column(1).to_numpy(zero_copy_only=False)).sum())
@@ -366,7 +367,7 @@ def adaptive_scores(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            scores = [Adaptive().log10(t) for t in fold_texts(batch.column(1).to_pylist())]
+            scores = [Adaptive().log10(t) for _, _, texts in folded_slices(batch.column(1), GROUP_BYTES) for t in texts]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64())], names=["doc_id", "score"])
 
     return rows.mapInArrow(run, rows.select("doc_id").schema.add("score", "double"))
@@ -396,15 +397,15 @@ def score_documents(docs: DataFrame, folds: int = FOLDS) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         by_run, by_token = Cells(*of_runs), Cells(*of_tokens)
         for batch in batches:
-            texts = fold_texts(batch.column(2).to_pylist())
-            score, base = np.zeros(len(texts)), np.zeros(len(texts))
-            n_tokens, n_known = np.ones(len(texts), np.int64), np.full(len(texts), int(ends > 0))
-            for packed, own, ptr in _blocks(texts, GROUP_BYTES if by_run.turns == 1 else TURN_BYTES):
-                price = np.zeros(len(packed), np.float32)
-                by_run.add_prices(packed, price)
-                score[own] += np.add.reduceat(price, ptr[:-1], dtype=np.float64)
-            for lo, hi in groups_by_bytes([len(t) for t in texts], GROUP_BYTES if by_token.turns == 1 else TURN_BYTES):
-                h, _, _, ptr, _ = words_of(texts[lo:hi], NONSPACE)
+            score, base = np.zeros(batch.num_rows), np.zeros(batch.num_rows)
+            n_tokens, n_known = np.ones(batch.num_rows, np.int64), np.full(batch.num_rows, int(ends > 0))
+            limit = GROUP_BYTES if by_run.turns == by_token.turns == 1 else TURN_BYTES
+            for lo, hi, texts in folded_slices(batch.column(2), limit):
+                for packed, own, ptr in _blocks(texts, limit):
+                    price = np.zeros(len(packed), np.float32)
+                    by_run.add_prices(packed, price)
+                    score[lo + own] += np.add.reduceat(price, ptr[:-1], dtype=np.float64)
+                h, _, _, ptr, _ = words_of(texts, NONSPACE)
                 price = np.full(len(h), unknown)
                 known = np.append(0, np.cumsum(by_token.add_prices(h, price)))
                 sums = np.append(0.0, np.cumsum(price))

@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import gru
-from .bytewords import TERM, fold_texts, groups_by_bytes, mix, words_of
+from .bytewords import TERM, fold_texts, folded_slices, mix, words_of
 from .common import id_crc
 
 FOLDS = 5
@@ -39,6 +39,7 @@ INPUTS = 3 + 2 * VECTOR
 SHRINK = 4.0
 ROUNDS, EPOCHS, BATCH = 3, 4, 256
 GROUP_BYTES = 1 << 19
+BLOCK_WINDOWS = 8192
 
 
 def distinct_words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -147,7 +148,9 @@ class Scorer:
         best = np.full(len(texts), -np.inf)
         if len(owner):
             features = self.inputs(words, grams, gptr, self.word_odds, self.gram_odds)
-            np.maximum.at(best, owner, self.windows_forward(features, number, begin, length))
+            for at in range(0, len(owner), BLOCK_WINDOWS):
+                part = slice(at, at + BLOCK_WINDOWS)
+                np.maximum.at(best, owner[part], self.windows_forward(features, number, begin[part], length[part]))
         return np.where(np.isfinite(best), best, np.nan), np.bincount(owner, minlength=len(texts))
 
     def scores(self, texts: list[bytes]) -> np.ndarray:
@@ -293,9 +296,8 @@ def score_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = pickle.loads(held.value)
         for batch in batches:
-            texts = fold_texts(batch.column(2).to_pylist())
-            for lo, hi in groups_by_bytes([len(t) for t in texts], GROUP_BYTES):
-                score = model.scores(texts[lo:hi])
+            for lo, hi, texts in folded_slices(batch.column(2), GROUP_BYTES):
+                score = model.scores(texts)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), batch.column(1).slice(lo, hi - lo), pa.array(score), pa.array((score >= 0.5).astype(np.int32))], names=["doc_id", "held_out", "score", "predicted"])
 
     schema = rows.select("doc_id", "held_out").schema.add("score", "double").add("predicted", "integer")
