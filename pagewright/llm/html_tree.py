@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import html as entities
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,7 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-TOKEN = re.compile(r"<!--.*?(?:-->|$)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<(?=[^a-zA-Z/!?])|[^<]+|<", re.S)
+NAME = re.compile(r"(/?)([a-zA-Z][^\s/>]*)")
+TAG_STOP = re.compile(r"[>\"']")
 ATTRIBUTE = re.compile(r"([^\s=/>]+)\s*(?:=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?")
 #: Elements whose content is never text of the page, read to their end tag as they stand.
 RAW = {"script", "style", "noscript", "template", "iframe", "noembed", "noframes"}
@@ -45,36 +47,73 @@ ROOT = 0
 TRAIN_PAGES, TRAIN_STEPS = 400, 200
 
 
+class Scanner:
+    """Tokens of a page from a place on, in time that grows with the page alone: what a search has found to be missing is
+    remembered, so that no later tag looks for it again."""
+
+    def __init__(self, source: str):
+        self.source, self.missing, self.dead = source, {}, set()
+
+    def find(self, what: str, at: int) -> int:
+        if at >= self.missing.get(what, len(self.source) + 1):
+            return -1
+        found = self.source.find(what, at)
+        if found < 0:
+            self.missing[what] = at
+        return found
+
+    def token(self, at: int) -> tuple[int, str | None, str, str]:
+        """(end, text or None, slash and name, attributes) of what begins at a place; markup without a name and comments
+        have an empty text. A tag that never ends is text."""
+        source = self.source
+        if source[at] != "<":
+            end = self.find("<", at)
+            end = end if end >= 0 else len(source)
+            return end, source[at:end], "", ""
+        if source.startswith("<!--", at):
+            end = self.find("-->", at + 4)
+            return (end + 3 if end >= 0 else len(source)), "", "", ""
+        if source[at + 1 : at + 2] in ("!", "?"):
+            end = self.find(">", at)
+            return (end + 1, "", "", "") if end >= 0 else (at + 1, "<", "", "")
+        name = NAME.match(source, at + 1)
+        end = self._tag_end(name.end()) if name else -1
+        if end < 0:
+            return at + 1, "<", "", ""
+        return end, None, name[1] + name[2].lower(), source[name.end() : end - 1]
+
+    def _tag_end(self, at: int) -> int:
+        """The place behind the > that closes a tag, beyond quoted values; -1 where there is none."""
+        tried = []
+        while (stop := TAG_STOP.search(self.source, at)) and stop.start() not in self.dead:
+            if stop[0] == ">":
+                return stop.end()
+            tried.append(stop.start())
+            at = self.find(stop[0], stop.end()) + 1
+            if not at:
+                break
+        self.dead.update(tried)
+        return -1
+
+
 class Page:
     """The block tree of a page: parents, tags, attribute words, and text runs in page order as (node, text, linked)."""
 
     def __init__(self, source: str):
         self.parent, self.tag, self.words, self.label = [-1], ["#root"], [frozenset()], [None]
         self.runs: list[tuple[int, str, bool]] = []
-        stack: list[tuple[str, int]] = [("#root", ROOT)]
-        mute = links = at = 0
+        self.stack: list[tuple[str, int]] = [("#root", ROOT)]
+        self.opened: Counter[str] = Counter()
+        self.mute = self.links = at = 0
+        scanner = Scanner(source)
         while at < len(source):
-            m = TOKEN.match(source, at)
-            at = m.end()
-            name = m[2]
-            if name is None:
-                if m[0][0] != "<" or m[0] == "<":
-                    if not mute:
-                        self.runs.append((stack[-1][1], m[0], links > 0))
+            at, text, name, attributes = scanner.token(at)
+            if text is not None:
+                if text and not self.mute:
+                    self.runs.append((self.stack[-1][1], text, self.links > 0))
                 continue
-            name = name.lower()
-            if m[1]:
-                for i in range(len(stack) - 1, 0, -1):
-                    if stack[i][0] == name:
-                        for gone, _ in stack[i:]:
-                            mute -= gone in MUTE
-                            links -= gone == "a"
-                        if name not in INLINE:
-                            self.runs.append((stack[i - 1][1], "\0", False))
-                        del stack[i:]
-                        break
-                    if name in INLINE and stack[i][0] not in INLINE:
-                        break  # an inline end tag reaches no block above it
+            if name[0] == "/":
+                self._end(name[1:])
                 continue
             if name in RAW:
                 end = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(source, at)
@@ -83,48 +122,70 @@ class Page:
             if name == "xmp":
                 end = re.compile(r"</xmp\s*>", re.I).search(source, at)
                 shown = entities.escape(source[at : end.start() if end else len(source)], quote=False)
-                if not mute:
-                    self.runs += [(stack[-1][1], "\0", False), (stack[-1][1], shown, links > 0), (stack[-1][1], "\0", False)]
+                if not self.mute:
+                    own = self.stack[-1][1]
+                    self.runs += [(own, "\0", False), (own, shown, self.links > 0), (own, "\0", False)]
                 at = end.end() if end else len(source)
                 continue
             if name in VOID:
                 if name in ("br", "hr"):
-                    self.runs.append((stack[-1][1], " ", False))
+                    self.runs.append((self.stack[-1][1], " ", False))
                 continue
-            if m[3].rstrip().endswith("/") and (name in FOREIGN or name not in INLINE and name not in CLOSES_P):
+            if attributes.rstrip().endswith("/") and (name in FOREIGN or name not in INLINE and name not in CLOSES_P):
                 continue
             if name in INLINE or name in MUTE:
-                mute += name in MUTE
-                links += name == "a"
-                stack.append((name, stack[-1][1]))
+                self._open(name, self.stack[-1][1])
                 continue
-            if name in CLOSES_P:
-                stack, mute, links = self._close(stack, {"p"}, set(CLOSES_P) - {"p"}, mute, links)
+            if name in CLOSES_P and self.opened["p"]:
+                self._close({"p"}, set(CLOSES_P) - {"p"})
             if name in SIBLINGS:
-                stack, mute, links = self._close(stack, *SIBLINGS[name], mute, links)
-            self.parent.append(stack[-1][1])
+                self._close(*SIBLINGS[name])
+            self.parent.append(self.stack[-1][1])
             self.tag.append(name)
-            found = {k.lower(): v.strip("\"'").lower() for k, v in ATTRIBUTE.findall(m[3])} if m[3].strip() else {}
+            found = {k.lower(): v.strip("\"'").lower() for k, v in ATTRIBUTE.findall(attributes)} if attributes.strip() else {}
             self.words.append(frozenset(re.findall(r"[a-z]+", " ".join((found.get("class", ""), found.get("id", ""), found.get("role", ""))))))
             self.label.append(found.get("data-label"))
-            stack.append((name, len(self.parent) - 1))
+            self._open(name, len(self.parent) - 1)
             self.runs.append((len(self.parent) - 1, "\0", False))
 
-    @staticmethod
-    def _close(stack, wanted, fence, mute, links):
+    def _open(self, name: str, node: int) -> None:
+        self.mute += name in MUTE
+        self.links += name == "a"
+        self.opened[name] += 1
+        self.stack.append((name, node))
+
+    def _cut(self, depth: int) -> None:
+        """Closes all open elements from a depth on."""
+        for name, _ in self.stack[depth:]:
+            self.mute -= name in MUTE
+            self.links -= name == "a"
+            self.opened[name] -= 1
+        del self.stack[depth:]
+
+    def _end(self, name: str) -> None:
+        """An end tag closes the innermost open element of its name; an inline one reaches no block above it."""
+        if not self.opened[name]:
+            return
+        for i in range(len(self.stack) - 1, 0, -1):
+            if self.stack[i][0] == name:
+                if name not in INLINE:
+                    self.runs.append((self.stack[i - 1][1], "\0", False))
+                self._cut(i)
+                break
+            if name in INLINE and self.stack[i][0] not in INLINE:
+                break
+
+    def _close(self, wanted: set[str], fence: set[str]) -> None:
         """Closes the innermost open element of ``wanted`` that no element of ``fence`` hides, with all in it."""
-        for i in range(len(stack) - 1, 0, -1):
-            if stack[i][0] in wanted:
+        for i in range(len(self.stack) - 1, 0, -1):
+            if self.stack[i][0] in wanted:
                 low = i
-                while low > 1 and stack[low - 1][0] in wanted:
+                while low > 1 and self.stack[low - 1][0] in wanted:
                     low -= 1
-                for gone, _ in stack[low:]:
-                    mute -= gone in MUTE
-                    links -= gone == "a"
-                return stack[:low], mute, links
-            if stack[i][0] in fence:
+                self._cut(low)
+                break
+            if self.stack[i][0] in fence:
                 break
-        return stack, mute, links
 
     def blocks(self) -> list[tuple[int, str]]:
         """(node, text) of each run of text between block bounds: references decoded, white space one space, trimmed."""
@@ -348,8 +409,10 @@ def main_texts(sources: list[str | None], w: dict[str, np.ndarray]) -> list[str]
 
 
 def extract(pages: DataFrame) -> DataFrame:
-    """One row per page: page_id, url, text, n_chars (code points). Pages are read whole; null html gives an empty text,
-    and an empty table no rows. Rows are independent of each other, so repeated ones give equal results."""
+    """One row per page: page_id, url, text, n_chars (code points). Pages are read whole, in time that grows with their
+    length however malformed they are: a tag that never ends is text, an unclosed comment, script or style takes the
+    rest. Null html gives an empty text, and an empty table no rows. Rows are independent of each other, so repeated ones
+    give equal results; extra columns are not read."""
     held = pages.sparkSession.sparkContext.broadcast(train())
     rows = pages.select(F.col("page_id").alias("page_id"), F.col("url").alias("url"), "html")
     group = 64
