@@ -5,6 +5,7 @@ record type and header columns, reads the headers of a record first and inflates
 without decoding or hashing them. ``df.write.format("pagewright_warc").mode("append").save(folder)`` writes
 gzip-per-record ``.warc.gz`` files that are rolled at a size. Paths are resolved by ``pyarrow.fs``, so any store that
 it knows (local, hdfs://, s3://, gs://) works. Revisit records hold the HTTP headers of the capture and no payload.
+An archive that ends within a record, or whose record has no sound length, raises an error that names the file.
 """
 
 from __future__ import annotations
@@ -34,7 +35,7 @@ BATCH_BYTES = 4 << 20
 READ_BYTES = 1 << 18
 DIGEST = "sha256:"
 MIN_REVISIT_BYTES = 100
-SALTS = 16
+SALTS = 64
 
 
 def store_of(path: str) -> tuple[pafs.FileSystem, str]:
@@ -72,7 +73,18 @@ class WarcWriter(DataSourceWriter):
     def write(self, rows: Iterator) -> Written:
         fs, root = store_of(self.path)
         fs.create_dir(root, recursive=True)
-        files, out, size = [], None, 0
+        files: list[str] = []
+        try:
+            self._write(fs, root, files, rows)
+        except BaseException:  # a task that fails leaves nothing behind
+            for f in files:
+                if fs.get_file_info(f + ".part").is_file:
+                    fs.delete_file(f + ".part")
+            raise
+        return Written(files)
+
+    def _write(self, fs: pafs.FileSystem, root: str, files: list[str], rows: Iterator) -> None:
+        out, size = None, 0
         for row in rows:
             if out is None:
                 files.append(f"{root}/{uuid.uuid4().hex}.warc.gz")
@@ -87,7 +99,6 @@ class WarcWriter(DataSourceWriter):
                 out = None
         if out is not None:
             out.close()
-        return Written(files)
 
     def commit(self, messages: list) -> None:
         """Only the files of attempts that count get their final names, which is what the reader lists."""
@@ -113,7 +124,7 @@ class _Members:
 
     def __init__(self, stream, packed: bool):
         self.stream, self.packed = stream, packed
-        self.buffer, self.raw, self.inflater = b"", b"", None
+        self.buffer, self.raw, self.inflater, self.short = b"", b"", None, False
 
     def _fill(self) -> bool:
         while True:
@@ -153,7 +164,7 @@ class _Members:
             parts.append(self.buffer)
             have += len(self.buffer)
         whole = b"".join(parts)
-        self.buffer = whole[n:]
+        self.buffer, self.short = whole[n:], len(whole) < n
         return whole[:n]
 
     def skip(self, n: int) -> None:
@@ -161,10 +172,16 @@ class _Members:
             n -= len(self.buffer)
             self.buffer = b""
             if not self._fill():
+                self.short = True
                 return
         self.buffer = self.buffer[n:]
 
 
+def _whole(source: _Members, path: str, head: dict[str, str]) -> None:
+    if source.short:
+        raise ValueError(f"{path}: the archive ends within record {head.get('warc-record-id')}")
+
+
 def _headers(block: bytes) -> dict[str, str]:
     found = {}
     for line in block.decode("utf-8", "replace").split("\r\n")[1:]:
@@ -209,13 +226,17 @@ class WarcReader(DataSourceReader):
             source, rows, size = _Members(stream, partition.path.endswith(".gz")), [], 0
             while (block := source.head()) is not None:
                 head = _headers(block)
-                length = int(head.get("content-length", 0))
+                sent = head.get("content-length", "0")
+                if not (sent.isascii() and sent.isdigit()):
+                    raise ValueError(f"{partition.path}: malformed Content-Length {sent!r} of record {head.get('warc-record-id')}")
+                length = int(sent)
                 row = dict.fromkeys(fields) | {c: head.get(h.lower()) for c, h in HEADERS.items()}
                 for c in ("record_id", "refers_to"):
                     row[c] = row[c].strip("<>") if row[c] else None
                 row["declared_digest"] = row["declared_digest"].removeprefix(DIGEST) if row["declared_digest"] else None
                 if not self._wanted(row):
                     source.skip(length)
+                    _whole(source, partition.path, head)
                     continue
                 if head.get("content-type", "").startswith("application/http"):
                     body = source.take(length)
@@ -224,6 +245,7 @@ class WarcReader(DataSourceReader):
                     row["declared_bytes"] = int(sent) if sent and sent.isdigit() else None
                 else:
                     payload = source.take(length)
+                _whole(source, partition.path, head)
                 if row["record_type"] != "revisit":
                     row["payload_bytes"], row["payload_digest"] = len(payload), hashlib.sha256(payload).hexdigest()
                     row["payload"] = payload if self.payload else None
