@@ -8,7 +8,10 @@ ranges of ranks within a length to sequences and offsets, and pieces take their
 from __future__ import annotations
 
 import bisect
+import functools
+import json
 import math
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -26,6 +29,8 @@ TOKENIZER = "byte_bpe_50k"
 RANK_ROWS = 200_000
 BROADCAST_PLAN = 100_000
 SLICE_ROWS = 256
+LONG_RUN = 50_000
+HAS_LONG_RUN = re.compile(rf"\s{{{LONG_RUN}}}|\S{{{LONG_RUN}}}")
 
 
 def tokenizer_path(name: str) -> str:
@@ -36,25 +41,32 @@ def tokenizer_path(name: str) -> str:
 
 class Encoder:
     """Ids of the byte-level BPE file; equal to the tokenizers library's, which takes over texts that spell a special
-    token. The ranks file of the same vocabulary is several times faster."""
+    token or hold a run of white space or of other characters of LONG_RUN, which the faster one may not survive. The
+    ranks file of the same vocabulary is several times faster."""
 
     def __init__(self, json_path: str, ranks_path: str):
         import base64
 
         import public_tokenizers
         import tiktoken
-        from tokenizers import Tokenizer
 
         with open(ranks_path, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self.fast = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-        self.full = Tokenizer.from_file(json_path)
-        self.special = [t.content for t in self.full.get_added_tokens_decoder().values()]
+        self.json_path = json_path
+        with open(json_path, encoding="utf-8") as f:
+            self.special = [t["content"] for t in json.load(f)["added_tokens"]]
+
+    @functools.cached_property
+    def full(self):
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_file(self.json_path)
 
     def ids(self, text: str | None) -> np.ndarray:
         """Ids of a text, then the end id; null is empty."""
         text = text or ""
-        if any(s in text for s in self.special):
+        if any(s in text for s in self.special) or len(text) >= LONG_RUN and HAS_LONG_RUN.search(text):
             got = self.full.encode(text, add_special_tokens=False).ids
         else:
             got = self.fast.encode_ordinary(text)
@@ -62,31 +74,34 @@ class Encoder:
         return np.array(got, "<u4")
 
 
-PIECE_SCHEMA = "doc_id long, piece int, start long, length long, ids_crc32 long"
+PIECES = [("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())]
 
 
 def tokenized_pieces(docs: DataFrame, json_path: str | None = None, ranks_path: str | None = None) -> DataFrame:
-    """Pieces of all documents. Documents of up to 2,048 tokens stay whole; longer ones are cut from their end on, so
-    that only the first piece may be shorter."""
+    """Pieces of all documents: doc_id (of any type), piece, start, length, ids_crc32. Documents of up to 2,048 tokens
+    stay whole; longer ones are cut from their end on, so that only the first piece may be shorter."""
     paths = (json_path or tokenizer_path(f"{TOKENIZER}.json"), ranks_path or tokenizer_path(f"{TOKENIZER}.tiktoken"))
-    arrow = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(*paths)
         for batch in batches:
+            arrow = pa.schema([batch.schema.field(0), *PIECES])
             for at in range(0, batch.num_rows, SLICE_ROWS):
                 part = batch.slice(at, SLICE_ROWS)
-                rows: list[tuple] = []
-                for doc, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
-                    ids = encoder.ids(text)
+                owners, rows = [], []
+                for i in range(part.num_rows):
+                    ids = encoder.ids(part.column(1)[i].as_py())
                     begin, piece = 0, 0
                     while begin < len(ids):
                         end = begin + ((len(ids) - begin - 1) % SEQUENCE + 1)
-                        rows.append((doc, piece, begin, end - begin, zlib.crc32(ids[begin:end].tobytes())))
+                        owners.append(i)
+                        rows.append((piece, begin, end - begin, zlib.crc32(ids[begin:end].tobytes())))
                         begin, piece = end, piece + 1
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), arrow, strict=True)], schema=arrow)
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(owners)), *(pa.array(c, t) for c, (_, t) in zip(zip(*rows, strict=True), PIECES, strict=True))], schema=arrow)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, PIECE_SCHEMA)
+    rows = docs.select("doc_id", "text")
+    schema = rows.select("doc_id").schema.add("piece", "integer").add("start", "long").add("length", "long").add("ids_crc32", "long")
+    return rows.mapInArrow(run, schema)
 
 
 def best_fit_plan(counts: dict[int, int], capacity: int = SEQUENCE) -> list[tuple[int, int, int, int, int, int]]:
