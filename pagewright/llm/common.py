@@ -34,6 +34,7 @@ def shared_dir(spark: SparkSession) -> str:
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="pagewright-")
         context.setCheckpointDir(found)
+        found = context.getCheckpointDir()
     path = context._jvm.org.apache.hadoop.fs.Path(found)
     return path.getFileSystem(context._jsc.hadoopConfiguration()).makeQualified(path).toString()
 

@@ -125,9 +125,20 @@ def shard_documents(docs: DataFrame, shards: int = 8, seed: int = 42) -> DataFra
     return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def _free(name: str, columns: list[str]) -> str:
+    """The name, with underscores before it where the table has a column of that name."""
+    taken = {c.lower() for c in columns}
+    while name in taken:
+        name = "_" + name
+    return name
+
+
 def write_shards(docs: DataFrame, path: str, shards: int = 8, seed: int = 42) -> None:
-    """Writes whole rows as Parquet under ``path``/shard=N, in slot order within each file."""
-    stored = Table(docs.withColumn("_rid", F.monotonically_increasing_id()), "rows")
-    placed = assign_shards(stored.read().select("_rid"), "_rid", shards, seed)
-    stored.read().join(placed, "_rid").drop("_rid").repartition("shard", F.expr(f"slot div {BLOCK_ROWS}")).sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
+    """Writes whole rows as Parquet under ``path``/shard=N with their slot, in slot order within each file. Where the table
+    has a column shard or slot, the own one is called _shard or _slot. An empty table writes no rows."""
+    shard, slot = _free("shard", docs.columns), _free("slot", docs.columns)
+    stored = Table(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.monotonically_increasing_id().alias("rid")), "rows")
+    placed = assign_shards(stored.read().select("rid"), "rid", shards, seed)
+    whole = stored.read().join(placed, "rid").repartition("shard", F.expr(f"slot div {BLOCK_ROWS}")).sortWithinPartitions("shard", "slot")
+    whole.select("row.*", F.col("shard").alias(shard), F.col("slot").alias(slot)).write.partitionBy(shard).parquet(path)
     stored.drop()

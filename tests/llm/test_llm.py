@@ -132,7 +132,7 @@ def test_decontamination(spark):
     decontam.BLOCK_WINDOWS = 200_000
     assert decontam.drop_contaminated(docs, bench).columns == docs.columns
     index = decontam.build_index(docs.select(F.monotonically_increasing_id().alias("rid"), "doc_id", "text"))
-    assert {r.doc_id for r in decontam.proximity_matches(index, [("p", "item short")], 3).collect()} == {1}
+    assert {r.doc_id for r in decontam.proximity_matches(index, [("p", "item short")], 3).collect()} == {"1"}
 
 
 def test_sharding(spark):
@@ -332,21 +332,36 @@ def test_lm_scores(spark, monkeypatch):
     for i, w in enumerate(tokens):
         want = sum(math.log10((c[x] + 0.1) / (n + 0.1 * (v + 1))) for x in w)
         assert abs(got[i].base_score - want) < 1e-6 and got[i].n_tokens == len(w) and got[i].n_known == sum(c[x] > 0 for x in w) and got[i].train_tokens == n
-    # the trie's symbols sum to one in any context, seen or not
-    bodies = fold_texts([texts[i] for i in train])
-    packed, _ = ppm.grams(bodies)
-    keys, counts = np.unique(packed, return_counts=True)
-    two = np.uint64((1 << 2 * ppm.BITS) - 1)
-    trie = ppm.Trie(keys, counts, ppm._sum_by(keys & two, counts))
-    for context in (int(keys[3]) >> ppm.BITS, 0, 12345):
-        all_symbols = np.array([context << ppm.BITS | s for s in range(ppm.ALPHABET)], np.uint64)
-        assert abs((10 ** trie.log10(all_symbols)).sum() - 1) < 1e-6
-    monkeypatch.setattr(ppm, "SHARD_ENTRIES", 50)
-    monkeypatch.setattr(ppm, "HEAD_TOKENS", 2)
+    model = ppm.Adaptive()
+    for i in train:
+        model.log10(fold_texts([texts[i]])[0])
+    for i in range(len(texts)):
+        assert abs(got[i].score - model.log10(fold_texts([texts[i]])[0], learn=False)) < 1e-4
+    monkeypatch.setattr(ppm, "TABLE_CELLS", 64)
+    monkeypatch.setattr(ppm, "HELD_CELLS", 128)
+    monkeypatch.setattr(ppm, "GROUP_BYTES", 50)
+    monkeypatch.setattr(ppm, "TURN_BYTES", 70)
     again = {r.doc_id: r for r in ppm.score_documents(docs).collect()}
     assert all(abs(again[i].score - got[i].score) < 1e-6 and abs(again[i].base_score - got[i].base_score) < 1e-6 and again[i].n_known == got[i].n_known for i in got)
     assert ppm.Adaptive().log10(b"aaaaaaaa") > ppm.Adaptive().log10(b"abcdefgh")
+    alone = {r.doc_id: r.score for r in ppm.adaptive_scores(docs).collect()}
+    assert abs(alone[60] + math.log10(257)) < 1e-9 and alone[60] == alone[61]
     assert ppm.score_documents(docs.filter("false")).count() == 0
+    assert ppm.score_documents(docs.filter("doc_id = 0").selectExpr("0 as doc_id", "text")).count() == 1
+
+
+def test_prices_of_all_symbols_sum_to_one(spark):
+    rng = random.Random(8)
+    texts = fold_texts([_prose(rng, 30, ["alpha", "beta", "gammą"]) for _ in range(20)])
+    keys, n = np.unique(ppm.grams(texts)[0], return_counts=True)
+    counts = dict(zip(keys.tolist(), n.tolist(), strict=True))
+    contexts = [int(keys[3]) >> ppm.BITS, int(keys[50]) >> ppm.BITS, 0, 12345]
+    wanted = {c << ppm.BITS | s for c in contexts for s in range(ppm.ALPHABET)}
+    rows = [(k, counts.get(k, 0)) for k in wanted | set(counts)]
+    got = {r.key: r.price for r in ppm.run_prices(spark.createDataFrame(rows, "key long, n long")).collect()}
+    assert len(got) == len(rows)
+    for c in contexts:
+        assert abs(sum(10 ** got[c << ppm.BITS | s] for s in range(ppm.ALPHABET)) - 1) < 1e-6
 
 
 def test_words_do_not_depend_on_place():
