@@ -6,7 +6,6 @@ trained in numpy on the driver from a bounded sample of labelled rows and goes o
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -41,25 +40,27 @@ def training_sample(rows: DataFrame, label: Column, text: Column) -> list[tuple[
     rows = rows.select(label.alias("label"), text.alias("text"), F.xxhash64(text, F.lit(1)).alias("h")).filter("label is not null and length(trim(text)) > 0")
     many = rows.groupBy("label").agg(F.approx_count_distinct("h").alias("n")).filter(F.col("n") > 4 * ROWS_PER_LABEL)
     bounds = {x["label"]: 4 * ROWS_PER_LABEL * (1 << 64) // x["n"] - (1 << 63) for x in many.collect()}
-    sample = _smallest(rows, bounds)
-    got = Counter(k for k, _ in sample)
-    short = [k for k in bounds if got[k] < ROWS_PER_LABEL]
+    sample, got = _smallest(rows, bounds)
+    short = [k for k in bounds if got.get(k, 0) < ROWS_PER_LABEL]
     if short:
         again = rows.join(F.broadcast(inline_rows(rows.sparkSession, [(k,) for k in short], "label: string")), "label")
-        sample = [x for x in sample if x[0] not in set(short)] + _smallest(again, {})
+        sample = [x for x in sample if x[0] not in set(short)] + _smallest(again, {})[0]
     return sorted(sample)
 
 
-def _smallest(rows: DataFrame, bounds: dict[str, int]) -> list[tuple[str, str]]:
-    """(label, text) of the ROWS_PER_LABEL distinct texts of the smallest hashes, up to the label's bound if any."""
+def _smallest(rows: DataFrame, bounds: dict[str, int]) -> tuple[list[tuple[str, str]], dict[str, int]]:
+    """(label, text) of the ROWS_PER_LABEL distinct texts of the smallest hashes, up to the label's bound if any and to
+    LABEL_CHARS; and how many texts each label had before that."""
     if bounds:
         small = inline_rows(rows.sparkSession, list(bounds.items()), "label: string, bound: long")
         rows = rows.join(F.broadcast(small), "label", "left").filter("bound is null or h <= bound")
     once = rows.withColumn("copy", F.row_number().over(Window.partitionBy("label", "h").orderBy("text"))).filter("copy = 1")
     top = once.withColumn("turn", F.row_number().over(Window.partitionBy("label").orderBy("h"))).filter(F.col("turn") <= ROWS_PER_LABEL)
     before = Window.partitionBy("label").orderBy("h").rowsBetween(Window.unboundedPreceding, -1)
-    top = top.withColumn("before", F.coalesce(F.sum(F.length("text")).over(before), F.lit(0))).filter(F.col("before") < LABEL_CHARS)
-    return [(x["label"], x["text"]) for x in top.select("label", "text").collect()]
+    top = top.withColumn("before", F.coalesce(F.sum(F.length("text")).over(before), F.lit(0)))
+    found = top.withColumn("many", F.max("turn").over(Window.partitionBy("label"))).filter(F.col("before") < LABEL_CHARS)
+    found = found.select("label", "text", "many").collect()
+    return [(x["label"], x["text"]) for x in found], {x["label"]: x["many"] for x in found}
 
 
 class Tagger:
