@@ -16,7 +16,7 @@ PAGE_MARKER = r"(?i)<!--\s*page:\s*(\d+)\s*-->"
 
 
 def cjk_count(text: Column) -> Column:
-    return F.length(F.regexp_replace(text, f"[^{CJK_CLASS}]", ""))
+    return F.length(F.regexp_replace(text, f"[^{CJK_CLASS}]+", ""))
 
 
 def token_count(text: Column) -> Column:

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import json
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Texts that clients know (fixed values).
 HEADER = "LLM is not configured, so here are the most relevant local chunks:"
+UNREACHABLE = "LLM is configured but unreachable, so here are the most relevant local chunks:"
 SYSTEM_PROMPT = "Answer the user's question using only the provided context. Cite sources as [1], [2], ... matching the bracketed indices. If the context does not contain the answer, say so."
 RERANK_PREFIX = '<|im_start|>system\nJudge whether the Document meets the requirements based on the Query and the Instruct provided. Note that the answer can only be "yes" or "no".<|im_end|>\n<|im_start|>user\n'
 RERANK_SUFFIX = "<|im_end|>\n<|im_start|>assistant\n<think>\n\n</think>\n\n"
@@ -49,6 +51,64 @@ def prompt_context(hits: DataFrame) -> DataFrame:
     return hits.agg(F.array_join(F.transform(lines, lambda x: F.format_string("[%d] (chunk_id=%s) %s", x.rank, x.chunk_id, x.text)), "\n\n").alias("context"))
 
 
+def messages(hits: DataFrame, query: str) -> DataFrame:
+    """One row: the (role, content) messages that a language model gets."""
+    system = F.struct(F.lit("system").alias("role"), F.lit(SYSTEM_PROMPT).alias("content"))
+    user = F.struct(F.lit("user").alias("role"), F.concat(F.lit("Context:\n"), F.col("context"), F.lit(f"\n\nQuestion: {query}")).alias("content"))
+    return prompt_context(hits).select(F.array(system, user).alias("messages"), "context")
+
+
+class PlainAnswers:
+    """Answers without a model."""
+
+    def answer(self, hits: DataFrame, query: str) -> str:
+        return simple_answer(hits, query).first()["answer"]
+
+    def stream(self, hits: DataFrame, query: str) -> Iterator[str]:
+        for r in stream_events(hits, query).filter("event = 'delta'").orderBy("seq").collect():
+            yield json.loads(r["data"])["content"]
+
+
+class ModelAnswers:
+    """Answers of a service with the common ``/chat/completions`` interface. Where it fails the context itself is the
+    answer; where it fails in mid-stream the context follows what was sent. ``transport`` and ``lines`` make the calls."""
+
+    def __init__(self, base_url: str | None, api_key: str | None, model: str | None, transport: Callable, lines: Callable, timeout: float = 60.0):
+        if missing := [n for n, v in (("base_url", base_url), ("api_key", api_key), ("model", model)) if not v]:
+            raise ValueError(f"{', '.join(missing)} required")
+        self.url, self.api_key, self.model = f"{base_url.rstrip('/')}/chat/completions", api_key, model
+        self.transport, self.lines, self.timeout = transport, lines, timeout
+
+    def _asked(self, hits: DataFrame, query: str) -> tuple[dict, str] | None:
+        row = messages(hits, query).first()
+        if not row["context"]:
+            return None
+        return {"model": self.model, "messages": [m.asDict() for m in row["messages"]], "temperature": 0.2}, f"{UNREACHABLE}\n\n{row['context']}"
+
+    def answer(self, hits: DataFrame, query: str) -> str:
+        if (asked := self._asked(hits, query)) is None:
+            return f"No local context found for: {query}"
+        try:
+            return self.transport(self.url, self.api_key, asked[0], self.timeout)["choices"][0]["message"]["content"].strip()
+        except Exception:  # noqa: BLE001  a search answers without its model
+            return asked[1]
+
+    def stream(self, hits: DataFrame, query: str) -> Iterator[str]:
+        if (asked := self._asked(hits, query)) is None:
+            yield f"No local context found for: {query}"
+            return
+        try:
+            for line in self.lines(self.url, self.api_key, asked[0] | {"stream": True}, self.timeout):
+                if not line.startswith("data: "):
+                    continue
+                if line[6:].strip() == "[DONE]":
+                    return
+                if delta := json.loads(line[6:]).get("choices", [{}])[0].get("delta", {}).get("content"):
+                    yield delta
+        except Exception:  # noqa: BLE001
+            yield asked[1]
+
+
 def stream_events(hits: DataFrame, query: str) -> DataFrame:
     """Server-sent events (seq, event, data): the citations, the answer's parts, the end."""
     cited = hits.agg(F.to_json(F.transform(F.array_sort(F.collect_list(F.struct("rank", "chunk_id", "title", "score"))), lambda x: F.struct(x.chunk_id.alias("chunk_id"), x.title.alias("title"), x.score.alias("score")))).alias("data")).select(F.lit(0).alias("seq"), F.lit("citations").alias("event"), "data")

@@ -6,7 +6,7 @@ from __future__ import annotations
 import re
 from collections.abc import Callable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -154,20 +154,40 @@ def chunk_markdown(markdown: str, max_tokens: int = MAX_TOKENS, overlap: int = O
     return found
 
 
+SLICE_ROWS = 256
 CHUNK_SCHEMA = "document_id string, title string, chunk_index int, text string, section string, page int"
 
 
-def chunk_documents(documents: DataFrame, max_tokens: int = MAX_TOKENS, overlap: int = OVERLAP) -> DataFrame:
-    """Chunks of rows of document_id, title, markdown, with ids, token counts and checksums."""
-    check_budget(max_tokens, overlap)
+def chunk_documents(documents: DataFrame, max_tokens: int = MAX_TOKENS, overlap: int = OVERLAP, chunker: Callable | None = None, keep_errors: bool = False) -> DataFrame:
+    """Chunks of rows of document_id, title, markdown, with ids, token counts and checksums.
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    ``chunker``: another function of (markdown, max_tokens, overlap) that gives (text, section, page) triples. With
+    ``keep_errors`` a document that it fails on gives one row of null chunk_index with the message in ``error``, and does
+    not end the job.
+    """
+    check_budget(max_tokens, overlap)
+    cut = chunker or chunk_markdown
+    schema = pa.schema([("document_id", pa.string()), ("title", pa.string()), ("chunk_index", pa.int32()), ("text", pa.string()), ("section", pa.string()), ("page", pa.int32()), ("error", pa.string())])
+
+    def chunks(document: str, title: str, markdown: str | None) -> list[tuple]:
+        try:
+            return [(document, title, i, *chunk, None) for i, chunk in enumerate(cut(markdown or "", max_tokens, overlap), 1)]
+        except Exception as problem:  # noqa: BLE001
+            if not keep_errors:
+                raise
+            return [(document, title, None, None, None, None, str(problem) or type(problem).__name__)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [(d, t, i, *chunk) for d, t, md in batch.itertuples(index=False) for i, chunk in enumerate(chunk_markdown(md or "", max_tokens, overlap), 1)]
-            out = pd.DataFrame(rows, columns=["document_id", "title", "chunk_index", "text", "section", "page"])
-            yield out.astype({"page": "Int32", "chunk_index": "int32"})
-
-    made = documents.select("document_id", "title", "markdown").mapInPandas(run, CHUNK_SCHEMA)
+            for at in range(0, batch.num_rows, SLICE_ROWS):
+                rows = [x for row in zip(*(c.to_pylist() for c in batch.slice(at, SLICE_ROWS).columns), strict=True) for x in chunks(*row)]
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
+
+    source = documents.select(F.col("document_id").cast("string").alias("document_id"), F.col("title").cast("string").alias("title"), F.col("markdown"))
+    made = source.mapInArrow(run, CHUNK_SCHEMA + ", error string")
+    if not keep_errors:
+        made = made.drop("error")
     return made.withColumns({"chunk_id": scalars.stable_chunk_id(F.col("document_id"), F.col("chunk_index")), "token_count": scalars.token_count(F.col("text")), "checksum": scalars.text_checksum(F.col("text"))})
 
 

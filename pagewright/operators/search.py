@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import unicodedata
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pagewright.functions import scalars
@@ -14,6 +15,8 @@ from pagewright.functions import scalars
 K1, B = 1.2, 0.75
 RRF_K = 60
 LIMIT, MAX_LIMIT = 8, 30
+#: Hits that a reranker may be given.
+MAX_FETCH = 1000
 HASH_DIMS = 16
 #: Queries that are scored in one pass.
 QUERY_BLOCK = 4096
@@ -22,6 +25,21 @@ STOP_WORDS = ("a", "and", "are", "as", "at", "be", "but", "by", "for", "if", "in
 _CJK_LETTER = r"\x{3040}-\x{30FF}\x{3400}-\x{4DBF}\x{4E00}-\x{9FFF}\x{AC00}-\x{D7AF}\x{F900}-\x{FAFF}"
 
 
+#: Full-width ASCII and half-width kana, folded to the usual width as Unicode's compatibility forms say.
+_WIDE = "".join(chr(c) for c in (*range(0xFF01, 0xFF5F), *range(0xFF65, 0xFFA0)))
+_FOLDED = "".join({"\uff9e": "\u3099", "\uff9f": "\u309a"}.get(c) or unicodedata.normalize("NFKC", c) for c in _WIDE)
+_VOICED = [(kana + mark, unicodedata.normalize("NFC", kana + mark)) for mark in "\u3099\u309a" for kana in sorted(set(_FOLDED)) if len(unicodedata.normalize("NFC", kana + mark)) == 1]
+
+
+def fold_width(text: Column) -> Column:
+    """Full-width letters, digits and signs as ASCII, half-width kana as full-width ones with their voice marks joined."""
+    plain = F.translate(text, _WIDE, _FOLDED)
+    joined = plain
+    for apart, whole in _VOICED:
+        joined = F.replace(joined, F.lit(apart), F.lit(whole))
+    return F.when(plain.rlike("[\u3099\u309a]"), joined).otherwise(plain)
+
+
 def check_limit(limit: int) -> int:
     if not 1 <= limit <= MAX_LIMIT:
         raise ValueError(f"limit must be 1 to {MAX_LIMIT}")
@@ -31,7 +49,8 @@ def check_limit(limit: int) -> int:
 def keyword_tokens(text: Column) -> Column:
     """Terms of a text: runs of letters and digits lower-cased, runs of CJK letters as overlapping pairs (a single one
     as itself), without stop words."""
-    text = F.lower(F.coalesce(text, F.lit("")))
+    text = F.coalesce(text, F.lit(""))
+    text = F.lower(F.when(text.rlike(f"[{_WIDE[0]}-{_WIDE[-1]}]"), fold_width(text)).otherwise(text))
     plain = F.split(text, r"[^\p{L}\p{M}\p{N}]+")
     cut = F.split(text, rf"[^\p{{L}}\p{{M}}\p{{N}}]+|(?<=[{_CJK_LETTER}])(?![{_CJK_LETTER}])|(?<![{_CJK_LETTER}])(?=[{_CJK_LETTER}])")
     pairs = lambda r: F.when(r.rlike(f"^[{_CJK_LETTER}]") & (F.length(r) > 1), F.transform(F.sequence(F.lit(1), F.length(r) - 1), lambda i: F.substr(r, i, F.lit(2)))).otherwise(F.array(r))
@@ -51,7 +70,9 @@ def hash_embedding(rows: DataFrame, key: str, text: Column, dims: int = HASH_DIM
 
 def vector_topk(vectors: DataFrame, query: DataFrame, key: str, limit: int) -> DataFrame:
     """(key, score, rank) of the nearest vectors to the one row of ``query`` (column ``query_vector``), by cosine rounded
-    to six decimals, then key. The query is a single row, so it is broadcast."""
+    to six decimals, then key. The query is a single row, so it is broadcast. Rows without key or vector are no
+    candidates, and a query without a vector has no hits; so too for many queries."""
+    vectors, query = vectors.filter(F.col(key).isNotNull() & F.col("vector").isNotNull()), query.filter("query_vector is not null")
     scored = vectors.join(F.broadcast(query.limit(1)), F.lit(True)).select(key, F.round(scalars.cosine(F.col("vector"), F.col("query_vector")), 6).alias("score"))
     return ranked(scored, key, limit)
 
@@ -78,7 +99,7 @@ def vector_topk_multi(vectors: DataFrame, queries: DataFrame, key: str, limit: i
             for batch in batches:
                 for at in range(0, batch.num_rows, 2048):
                     part = batch.slice(at, 2048)
-                    v = np.array(part.column(1).to_pylist(), np.float64).reshape(part.num_rows, -1)
+                    v = part.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(part.num_rows, -1)
                     s = np.round(q @ (v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-30)).T, 6)
                     top_s = np.hstack([top_s, s])
                     top_k = np.hstack([top_k, np.broadcast_to(part.column(0).to_numpy(), s.shape)])
@@ -90,13 +111,13 @@ def vector_topk_multi(vectors: DataFrame, queries: DataFrame, key: str, limit: i
         return run
 
     parts, rows = [], []
-    source = vectors.select(F.col(key).cast("long").alias(key), "vector").filter("vector is not null")
+    source = vectors.select(F.col(key).cast("long").alias(key), "vector").filter(F.col(key).isNotNull() & F.col("vector").isNotNull())
 
     def send() -> None:
         held = spark.sparkContext.broadcast((np.array([r[0] for r in rows], np.int64), np.array([r[1] for r in rows], np.float64)))
         parts.append(source.mapInArrow(best(held), f"query_id long, {key} long, score double"))
 
-    for r in queries.select(F.col("query_id").cast("long"), "query_vector").toLocalIterator():
+    for r in queries.select(F.col("query_id").cast("long"), "query_vector").filter("query_id is not null and query_vector is not null").toLocalIterator():
         rows.append((r[0], r[1]))
         if len(rows) == block:
             send()
@@ -140,6 +161,8 @@ def bm25_topk(rows: DataFrame, key: str, text: Column, query: str, limit: int) -
 
 def rrf_fuse(lists: list[DataFrame], key: str, k: int = RRF_K, limit: int = LIMIT) -> DataFrame:
     """(key, score, rank) by the sum of 1 / (k + rank) over the lists; ties keep the order in which they were first seen."""
+    if not lists:
+        return SparkSession.active().createDataFrame([], f"{key} string, score double, rank int")
     both = None
     for i, ranked_list in enumerate(lists):
         part = ranked_list.select(key, F.lit(i).alias("list_no"), "rank")
@@ -165,7 +188,97 @@ def hybrid_search(rows: DataFrame, key: str, text: Column, query: str, limit: in
 
 def citations(hits: DataFrame, payload: DataFrame, key: str) -> DataFrame:
     """The hits with their payload columns, in rank order."""
-    return payload.join(F.broadcast(hits), key)
+    return payload.join(F.broadcast(hits.limit(MAX_FETCH)), key).orderBy("rank")
+
+
+HIT = ("document_id", "chunk_id", "title", "section", "page", "text")
+
+
+def _hits(fields: Column, own_id: Column, score: Column, source: str) -> list[Column]:
+    text = lambda c: F.coalesce(fields[c], F.lit(""))
+    return [text("docId").alias("document_id"), F.coalesce(fields["chunkId"], own_id.cast("string")).alias("chunk_id"), text("title").alias("title"), fields["section"].alias("section"), fields["page"].alias("page"), text("text").alias("text"), F.coalesce(score, F.lit(0.0)).cast("double").alias("score"), F.lit(source).alias("source")]
+
+
+def vector_hits(points: DataFrame) -> DataFrame:
+    """Hits of (point_id, payload, score, rank): missing texts are empty, a missing chunk id is the point's."""
+    return points.select(*_hits(F.col("payload"), F.col("point_id"), F.col("score"), "vector"), "rank")
+
+
+def keyword_hits(found: DataFrame) -> DataFrame:
+    """Hits of (_id, document, score, rank), with the same defaults."""
+    return found.select(*_hits(F.col("document"), F.col("_id"), F.col("score"), "keyword"), "rank")
+
+
+def fuse_hits(lists: list[DataFrame], k: int = RRF_K, limit: int = LIMIT) -> DataFrame:
+    """The fused list of whole hits, with source 'rrf': each chunk's fields are those of the first list that holds it."""
+    fused = rrf_fuse(lists, "chunk_id", k, limit)
+    if not lists:
+        return fused
+    every = None
+    for i, hits in enumerate(lists):
+        part = hits.select("chunk_id", F.struct(F.lit(i).alias("i"), *[c for c in HIT if c != "chunk_id"]).alias("hit"))
+        every = part if every is None else every.unionByName(part)
+    fields = every.groupBy("chunk_id").agg(F.min_by("hit", F.col("hit.i")).alias("hit"))
+    whole = fields.join(F.broadcast(fused.limit(MAX_FETCH)), "chunk_id")
+    return whole.select("hit.document_id", "chunk_id", *[F.col(f"hit.{c}").alias(c) for c in HIT[2:]], "score", "rank", F.lit("rrf").alias("source"))
+
+
+class Retriever:
+    """Hybrid search with what is given: ``vectors(query_vector frame, limit)`` and ``keywords(query, limit)`` return hits,
+    ``embedding`` has ``vectors(rows, key, text)``, ``reranker`` has ``rerank(hits, query, limit)`` or is None."""
+
+    def __init__(self, vectors: Callable[[DataFrame, int], DataFrame], keywords: Callable[[str, int], DataFrame], embedding, reranker=None, rrf_k: int = RRF_K, rerank_top_k: int = 20):
+        self.vectors, self.keywords, self.embedding, self.reranker = vectors, keywords, embedding, reranker
+        self.rrf_k, self.rerank_top_k = rrf_k, rerank_top_k
+
+    def search(self, spark: SparkSession, query: str, limit: int = LIMIT) -> DataFrame:
+        check_limit(limit)
+        fetch = fetch_size(limit, self.rerank_top_k if self.reranker else None)
+        asked = self.embedding.vectors(spark.range(1).select("id", F.lit(query).alias("text")), "id", F.col("text")).select(F.col("vector").alias("query_vector"))
+        fused = fuse_hits([self.vectors(asked, fetch), self.keywords(query, fetch)], self.rrf_k, fetch)
+        return self.reranker.rerank(fused, query, limit) if self.reranker else fused
+
+
+#: Folders that postings are dealt to by term, so that a query reads those of its terms alone.
+TERM_BUCKETS = 256
+
+
+def _bucket(term: Column) -> Column:
+    return F.pmod(F.xxhash64(term), F.lit(TERM_BUCKETS)).cast("int")
+
+
+def write_postings(rows: DataFrame, key: str, text: Column, path: str) -> None:
+    """Stores postings by term, and the lengths of all texts, for ``stored_bm25``."""
+    counted = postings(rows, key, text)
+    counted.withColumn("bucket", _bucket(F.col("term"))).repartition("bucket").sortWithinPartitions("bucket", "term").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings")
+    rows.select(F.size(keyword_tokens(text)).cast("long").alias("dl")).agg(F.count(F.lit(1)).alias("n"), F.sum("dl").alias("words")).write.mode("overwrite").parquet(f"{path}/lengths")
+
+
+def read_postings(spark: SparkSession, path: str, terms: list[str]) -> DataFrame:
+    """The postings of some terms: only their folders are listed in the plan, and only their row groups are read."""
+    buckets = [r[0] for r in spark.range(1).select(F.explode(F.array(*[F.lit(t) for t in terms])).alias("t")).select(_bucket(F.col("t"))).distinct().collect()]
+    return spark.read.parquet(f"{path}/postings").filter(F.col("bucket").isin(buckets) & F.col("term").isin(terms))
+
+
+def stored_bm25(spark: SparkSession, path: str, key: str, query: str, limit: int) -> DataFrame:
+    """``bm25_topk`` over stored postings: (key, score, rank)."""
+    terms = [x[0] for x in spark.range(1).select(F.explode(keyword_tokens(F.lit(query)))).distinct().collect()]
+    lengths = spark.read.parquet(f"{path}/lengths").agg(F.sum("n").alias("n"), (F.sum("words") / F.sum("n")).alias("avgdl"))
+    return _score(read_postings(spark, path, terms or [""]), lengths, key, limit)
+
+
+def score_postings(found: DataFrame, every: DataFrame, key: str, limit: int) -> DataFrame:
+    """(key, score, rank) from the postings of the query's terms and all postings (key, term, tf, dl), for the lengths."""
+    lengths = every.groupBy(key).agg(F.max("dl").alias("dl")).agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))
+    return _score(found, lengths, key, limit)
+
+
+def _score(found: DataFrame, lengths: DataFrame, key: str, limit: int) -> DataFrame:
+    df = found.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
+    scored = found.join(F.broadcast(df), "term").join(F.broadcast(lengths), F.lit(True)).groupBy(key).agg(F.round(F.sum(part), 6).alias("score"))
+    return ranked(scored, key, limit)
 
 
 def health(stores: DataFrame) -> DataFrame:

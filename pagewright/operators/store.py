@@ -31,10 +31,14 @@ def latest(rows: DataFrame, keys: list[str], order: str) -> DataFrame:
 
 
 def upsert(table: DataFrame, changes: DataFrame, keys: list[str]) -> DataFrame:
-    """The table with changed keys replaced; of repeated changes of a key the last by ``_seq`` holds."""
+    """The table with changed keys replaced; of repeated changes of a key the last by ``_seq`` holds. A null key is a key."""
     turn = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("_seq")))
     last = changes.withColumn("_turn", turn).filter("_turn = 1").drop("_turn", "_seq")
-    return table.join(last.select(*keys), keys, "left_anti").unionByName(last)
+    gone = last.select(*[F.col(k).alias(f"_{k}") for k in keys])
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_{k}"))
+    return table.join(gone, same, "left_anti").unionByName(last)
 
 
 def delete_documents(tables: dict[str, tuple[DataFrame, str]], gone: DataFrame) -> dict[str, DataFrame]:
@@ -50,6 +54,16 @@ def ready_counts(documents: DataFrame) -> DataFrame:
     return documents.agg(F.count_if(F.col("status") == "ready").alias("ready"), F.count(F.lit(1)).alias("total"))
 
 
+def payload_filter(points: DataFrame, field: str, value) -> DataFrame:
+    """Points whose payload field equals a value."""
+    return points.filter(F.col("payload").getField(field) == F.lit(value))
+
+
+def term_filter(rows: DataFrame, field: str, value) -> DataFrame:
+    """Keyword documents whose field is exactly a value."""
+    return rows.filter(F.col("document").getField(field) == F.lit(value))
+
+
 def poll_state(documents: DataFrame, document_id: str) -> DataFrame:
     """The document's state where it is final; no row while it is not."""
     return documents.filter((F.col("id") == document_id) & F.col("status").isin("ready", "failed")).select("id", "status")
@@ -60,18 +74,25 @@ def failed_job(jobs: DataFrame, message) -> DataFrame:
 
 
 class ParquetTable:
-    """A keyed table as versions in a folder: a write makes a new version, and a pointer file names the current one, so
-    that a path is never overwritten while it is read."""
+    """A keyed table as versions in a folder. A write makes a new version and then an empty pointer file for it, whose
+    number is the largest; a reader takes the largest pointer there is, so no path is ever overwritten and a crash leaves
+    the last version in place. Older versions than the one before are removed."""
 
     def __init__(self, spark: SparkSession, path: str, schema: StructType, keys: list[str]):
         self.spark, self.path, self.schema, self.keys = spark, path.rstrip("/"), schema, keys
 
     def _current(self) -> str | None:
-        jvm = self.spark.sparkContext._jvm
-        pointer = jvm.org.apache.hadoop.fs.Path(f"{self.path}/current")
-        if not pointer.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(pointer):
-            return None
-        return self.spark.read.text(f"{self.path}/current").first()[0]
+        found = self._pointers()
+        return found[-1][1] if found else None
+
+    def _fs(self, path: str):
+        made = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        return made.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), made
+
+    def _pointers(self) -> list[tuple[int, str]]:
+        fs, folder = self._fs(f"{self.path}/pointers")
+        names = [s.getPath().getName() for s in fs.listStatus(folder)] if fs.exists(folder) else []
+        return sorted((int(n.split("-")[0]), n.split("-")[1]) for n in names if "-" in n)
 
     def read(self) -> DataFrame:
         """The current rows; an empty table where nothing was written."""
@@ -82,8 +103,18 @@ class ParquetTable:
 
     def replace(self, rows: DataFrame) -> None:
         version = uuid.uuid4().hex
+        before = self._pointers()
         rows.write.parquet(f"{self.path}/{version}")
-        self.spark.range(1).select(F.lit(version)).coalesce(1).write.mode("overwrite").text(f"{self.path}/current")
+        fs, pointer = self._fs(f"{self.path}/pointers/{(before[-1][0] if before else 0) + 1:012d}-{version}")
+        fs.createNewFile(pointer)
+        number, first = next(p for p in self._pointers() if p[0] == (before[-1][0] if before else 0) + 1)
+        if first != version:
+            fs.delete(pointer, False)
+            raise RuntimeError(f"{self.path}: another writer came first")
+        for number, old in before[:-1]:
+            for gone in (f"{self.path}/pointers/{number:012d}-{old}", f"{self.path}/{old}"):
+                where, path = self._fs(gone)
+                where.delete(path, True)
 
     def upsert(self, changes: DataFrame) -> None:
         self.replace(upsert(self.read(), changes, self.keys))

@@ -6,12 +6,15 @@ sections and pages is assembled from ``conversations``.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagewright.functions import scalars
-from pagewright.operators import answers, chunking, search, store
+from pagewright.operators import answers, chunking, layout, search, store, stored
 from pagewright.sources import files
+from pagewright.streaming import ingest
 
 FLAGSHIP = "hybrid_search"
 QUERY = "anon tion ble whou"
@@ -125,6 +128,78 @@ def sse_frames(spark, sf_dir):
     return answers.stream_events(_cited(spark, sf_dir), QUERY)
 
 
+def _points(spark, sf_dir):
+    d = F.col("doc_id")
+    payload = F.struct(
+        F.when(d % 3 != 0, F.concat(F.lit("doc-"), (d % 10).cast("string"))).alias("docId"), F.when(d % 4 != 0, F.concat(F.lit("chunk-"), d.cast("string"))).alias("chunkId"), F.when(d % 5 != 0, "title").alias("title"),
+        F.when(d % 2 == 0, "part").alias("section"), F.when(d % 7 < 5, (d % 7).cast("int")).alias("page"), F.col("text"),
+    )
+    return _read(spark, sf_dir, "documents").select(d, payload.alias("payload"), F.when(d % 6 != 0, d / 8).alias("score"), d.alias("rank"))
+
+
+def _mapped(hits):
+    return hits.select("document_id", "chunk_id", "title", "section", F.coalesce(F.col("page"), F.lit(-1)).cast(INT).alias("page"), F.length("text").cast(INT).alias("n_chars"), "score", "source", F.col("rank").cast(INT).alias("rank"))
+
+
+def vector_hits(spark, sf_dir):
+    return _mapped(search.vector_hits(_points(spark, sf_dir).withColumn("point_id", F.concat(F.lit("p-"), F.col("doc_id").cast("string")))))
+
+
+def keyword_hits(spark, sf_dir):
+    return _mapped(search.keyword_hits(_points(spark, sf_dir).select(F.concat(F.lit("p-"), F.col("doc_id").cast("string")).alias("_id"), F.col("payload").alias("document"), "score", "rank")))
+
+
+def payload_filter(spark, sf_dir):
+    return store.payload_filter(_points(spark, sf_dir), "docId", "doc-4").select("doc_id")
+
+
+def term_filter(spark, sf_dir):
+    return store.term_filter(_points(spark, sf_dir).withColumnRenamed("payload", "document"), "section", "part").select("doc_id")
+
+
+def render_citation(spark, sf_dir):
+    return _points(spark, sf_dir).select("doc_id", answers.render_citation(F.col("payload.section"), F.col("payload.page")).alias("shown"))
+
+
+def prompt_messages(spark, sf_dir):
+    made = answers.messages(_cited(spark, sf_dir), QUERY).select(F.explode("messages").alias("m"))
+    return made.select("m.role", "m.content")
+
+
+def poll_state(spark, sf_dir):
+    rows = _titled(spark, sf_dir)
+    return store.poll_state(rows, "7").unionByName(store.poll_state(rows, "1")).unionByName(store.poll_state(rows, "5"))
+
+
+def job_log(spark, sf_dir):
+    d = _read(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("document_id"), F.lit("t").alias("title"), F.lit("p").alias("file_path"), "doc_id", "text")
+    failures = d.filter("doc_id % 7 = 0").select("document_id", F.coalesce("text", F.lit("no text")).alias("error"))
+    documents, jobs = ingest.job_rows(d, failures, "s0", 1)
+    return jobs.select("document_id", "status", F.length(F.coalesce("failure_reason", F.lit(""))).cast(INT).alias("reason_chars"), "id").join(documents.select("document_id", F.col("status").alias("document_status")), "document_id")
+
+
+def index_search(spark, sf_dir):
+    path = f"{stored.scratch_dir(spark)}/postings-{uuid.uuid4().hex}"
+    search.write_postings(_documents(spark, sf_dir), "doc_id", F.col("text"), path)
+    return search.stored_bm25(spark, path, "doc_id", QUERY, 10).withColumn("rank", F.col("rank").cast(INT))
+
+
+def width_fold(spark, sf_dir):
+    wide = F.translate("text", "abcdefghijklmnopqrstuvwxyz0123456789", "".join(chr(ord(c) + 0xFEE0) for c in "abcdefghijklmnopqrstuvwxyz0123456789"))
+    return _documents(spark, sf_dir).select("doc_id", F.sha2(F.coalesce(search.fold_width(wide), F.lit("")), 256).alias("folded_sha256"))
+
+
+def pdf_reading_order(spark, sf_dir):
+    """Pages in two columns made of the first letters of documents, five blocks a page, of sizes that make headings."""
+    d = F.col("doc_id")
+    text = F.concat(F.lit("block "), d.cast("string"), F.lit(" has some words"))
+    side = F.when(d % 2 == 0, 50.0).otherwise(320.0)
+    block = F.struct(F.lit(0).alias("type"), F.array(side, (d % 5 * 20 + 10).cast("double"), side + 200, (d % 5 * 20 + 25).cast("double")).alias("bbox"), F.array(F.struct(F.array(F.struct(text.alias("text"), F.when(d % 10 == 3, 24.0).otherwise(10.0).alias("size"))).alias("spans"))).alias("lines"))
+    rows = _read(spark, sf_dir, "documents").select((d - d % 50).cast("string").alias("document_id"), (d % 50 / 5).cast("int").alias("page0"), d, block.alias("block"))
+    pages = rows.groupBy("document_id", (F.col("page0") + 1).alias("page")).agg(F.transform(F.array_sort(F.collect_list(F.struct("doc_id", "block"))), lambda x: x.block).alias("blocks"))
+    return layout.pages_to_markdown(pages.select("document_id", "page", F.lit(595.0).alias("width"), "blocks"))
+
+
 def rerank_merge(spark, sf_dir):
     hits = _hits(spark, sf_dir).withColumn("source", F.lit("rrf"))
     result = spark.sql("SELECT * FROM VALUES (0, 4, 0.9D), (1, 2, 0.8D), (2, 4, 0.7D), (3, NULL, 0.6D), (4, 99, 0.5D), (5, 0, 0.4D) AS r(pos, index, relevance_score)")
@@ -179,7 +254,7 @@ def health(spark, sf_dir):
     return search.health(n("documents").unionByName(n("embeddings"))).select("status", F.to_json("stores").alias("stores"))
 
 
-QUERIES = {f.__name__: f for f in (token_count, chunk_identity, sentence_units, pack_chunks, chunk_markdown, index_payload, hash_embed, vector_topk, vector_topk_multi, bm25_topk, rrf_fuse, hybrid_search, citations, simple_answer, sse_frames, rerank_merge, rerank_overlap, list_documents, ready_counts, upsert_latest, cascade_delete, job_state, classify_upload, health)}
+QUERIES = {f.__name__: f for f in (token_count, chunk_identity, sentence_units, pack_chunks, chunk_markdown, index_payload, hash_embed, vector_topk, vector_topk_multi, bm25_topk, rrf_fuse, hybrid_search, citations, simple_answer, sse_frames, vector_hits, keyword_hits, payload_filter, term_filter, render_citation, prompt_messages, poll_state, job_log, index_search, width_fold, pdf_reading_order, rerank_merge, rerank_overlap, list_documents, ready_counts, upsert_latest, cascade_delete, job_state, classify_upload, health)}
 
 _NON_CJK = f"[^{scalars.CJK_CLASS}]"
 _STOP = "(" + ", ".join(f"'{w}'" for w in search.STOP_WORDS) + ")"
@@ -221,6 +296,9 @@ vec AS (SELECT doc_id, score, row_number() OVER (ORDER BY score DESC, doc_id) AS
 _COS = "list_inner_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) / (sqrt(list_inner_product(a.embedding::DOUBLE[], a.embedding::DOUBLE[])) * sqrt(list_inner_product(b.embedding::DOUBLE[], b.embedding::DOUBLE[])))"
 _UUID_HEX = "sha1(unhex('6BA7B8119DAD11D180B400C04FD430C8') || chunk_id::BLOB)"
 
+_MAPPED = """SELECT CASE WHEN doc_id % 3 <> 0 THEN 'doc-' || (doc_id % 10) ELSE '' END AS document_id, CASE WHEN doc_id % 4 <> 0 THEN 'chunk-' || doc_id ELSE 'p-' || doc_id END AS chunk_id, CASE WHEN doc_id % 5 <> 0 THEN 'title' ELSE '' END AS title,
+CASE WHEN doc_id % 2 = 0 THEN 'part' END AS section, CASE WHEN doc_id % 7 < 5 THEN doc_id % 7 ELSE -1 END AS page, length(coalesce(text, '')) AS n_chars, CASE WHEN doc_id % 6 <> 0 THEN doc_id / 8.0 ELSE 0 END::DOUBLE AS score, '{source}' AS source, doc_id AS rank FROM documents"""
+
 ORACLES = {
     "token_count": f"SELECT doc_id, length(regexp_replace(coalesce(text, ''), '{_NON_CJK}', '', 'g')) AS n_cjk, length(regexp_replace(coalesce(text, ''), '{_NON_CJK}', '', 'g')) + CAST(ceil((length(coalesce(text, '')) - length(regexp_replace(coalesce(text, ''), '{_NON_CJK}', '', 'g'))) / 4.0) AS BIGINT) AS n_tokens FROM documents",
     "chunk_identity": f"""WITH c AS (SELECT doc_id, text, doc_id || ':000001' AS chunk_id FROM documents), h AS (SELECT *, {_UUID_HEX} AS h FROM c)
@@ -246,4 +324,26 @@ SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY pno, i) - 1 AS po
     "job_state": "SELECT user_id, max(event_id) AS event_id, arg_max(event_type, event_id) AS event_type FROM events GROUP BY user_id",
     "classify_upload": """SELECT doc_id, CASE WHEN doc_id % 6 <= 2 OR doc_id % 4 = 0 THEN 'direct' WHEN doc_id % 6 = 3 OR doc_id % 4 = 1 THEN 'pdf' END AS kind, 'doc-' || doc_id AS title FROM documents""",
     "health": """SELECT 'ok' AS status, '{"documents":true,"embeddings":true}' AS stores""",
+    "vector_hits": _MAPPED.format(source="vector"),
+    "keyword_hits": _MAPPED.format(source="keyword"),
+    "payload_filter": "SELECT doc_id FROM documents WHERE doc_id % 3 <> 0 AND doc_id % 10 = 4",
+    "term_filter": "SELECT doc_id FROM documents WHERE doc_id % 2 = 0",
+    "render_citation": "SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 'part' ELSE 'Untitled section' END || CASE WHEN doc_id % 7 BETWEEN 1 AND 4 THEN ', page ' || (doc_id % 7) ELSE '' END AS shown FROM documents",
+    "prompt_messages": f"""{_HYBRID} SELECT 'system' AS role, '{answers.SYSTEM_PROMPT.replace("'", "''")}' AS content
+UNION ALL SELECT 'user', 'Context:' || chr(10) || string_agg('[' || rank || '] (chunk_id=' || doc_id || ':000001) ' || text, chr(10) || chr(10) ORDER BY rank) || chr(10) || chr(10) || 'Question: {QUERY}' FROM top JOIN documents USING (doc_id)""",
+    "poll_state": "SELECT CAST(doc_id AS VARCHAR) AS id, CASE WHEN doc_id % 7 = 0 THEN 'failed' ELSE 'ready' END AS status FROM documents WHERE doc_id IN (1, 7)",
+    "job_log": """SELECT CAST(doc_id AS VARCHAR) AS document_id, CASE WHEN doc_id % 7 = 0 THEN 'failed' ELSE 'completed' END AS status, CASE WHEN doc_id % 7 = 0 THEN least(1000, length(coalesce(text, 'no text'))) ELSE 0 END AS reason_chars,
+sha256(doc_id || ':s0') AS id, CASE WHEN doc_id % 7 = 0 THEN 'failed' ELSE 'ready' END AS document_status FROM documents""",
+    "index_search": f"WITH {_BASE}, {_bm25('kw', TERMS, 10)} SELECT * FROM kw",
+    "width_fold": "SELECT doc_id, sha256(coalesce(text, '')) AS folded_sha256 FROM documents",
+    "pdf_reading_order": """WITH b AS (SELECT doc_id - doc_id % 50 AS d, doc_id % 50 // 5 + 1 AS page, doc_id % 2 AS col, doc_id % 5 AS y, doc_id, CASE WHEN doc_id % 10 = 3 THEN '# ' ELSE '' END || 'block ' || doc_id || ' has some words' AS t FROM documents),
+c AS (SELECT *, CASE WHEN count(DISTINCT col) OVER (PARTITION BY d, page) = 2 THEN col ELSE 0 END AS side FROM b),
+p AS (SELECT d, page, '<!-- page: ' || page || ' -->' || chr(10) || chr(10) || string_agg(t, chr(10) || chr(10) ORDER BY side, y, doc_id) AS t FROM c GROUP BY d, page)
+SELECT CAST(d AS VARCHAR) AS document_id, string_agg(t, chr(10) || chr(10) ORDER BY page) AS markdown FROM p GROUP BY d""",
+    "sse_frames": f"""{_HYBRID}, cited AS (SELECT top.*, text FROM top JOIN documents USING (doc_id)),
+body AS (SELECT string_agg('[' || rank || '] ' || text, chr(10) || chr(10) ORDER BY rank) AS t FROM cited)
+SELECT 0 AS seq, 'citations' AS event, '[' || string_agg('{{"chunk_id":"' || doc_id || ':000001","title":"doc-' || doc_id || '","score":' || score || '}}', ',' ORDER BY rank) || ']' AS data FROM cited
+UNION ALL SELECT 1, 'delta', '{{"content":' || to_json('{answers.HEADER}' || chr(10) || chr(10))::VARCHAR || '}}'
+UNION ALL SELECT 2, 'delta', '{{"content":' || to_json(t)::VARCHAR || '}}' FROM body
+UNION ALL SELECT 99, 'done', '{{}}'""",
 }

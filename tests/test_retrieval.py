@@ -1,19 +1,11 @@
+import random
+
 from pyspark.sql import functions as F
 
 from pagewright.operators import answers, layout, search, store
 from pagewright.sources import files
 
 
-def _ranked(spark, ids):
-    return spark.createDataFrame([(c, i + 1) for i, c in enumerate(ids)], "chunk_id string, rank int")
-
-
-def test_rrf(spark):
-    got = search.rrf_fuse([_ranked(spark, ["c1", "c2"]), _ranked(spark, ["c1", "c3"])], "chunk_id").collect()
-    assert [r.chunk_id for r in sorted(got, key=lambda r: r["rank"])] == ["c1", "c2", "c3"]
-    assert got[0].score == round(2 / 61, 6)
-
-
 def test_keyword_tokens(spark):
     row = spark.range(1).select(search.keyword_tokens(F.lit("The Redis锁机制 is 42")).alias("t")).first()
     assert row.t == ["redis", "锁机", "机制", "42"]
@@ -33,11 +25,20 @@ def test_plans(spark):
     assert "BroadcastNestedLoopJoin" in plan and "TakeOrderedAndProject" in plan
 
 
-def test_rerank_merge_keeps_result_order(spark):
-    hits = spark.createDataFrame([(1, "a", 0.3, "rrf"), (2, "b", 0.2, "rrf"), (3, "c", 0.1, "rrf")], "rank int, chunk_id string, score double, source string")
-    result = spark.createDataFrame([(0, 2, 0.9), (1, 0, 0.5), (2, None, 0.4), (3, 2, 0.1)], "pos int, index int, relevance_score double")
-    got = answers.merge_rerank_result(hits, result, 3).orderBy("rank").collect()
-    assert [(r.chunk_id, r.score, r.source) for r in got] == [("c", 0.9, "reranked"), ("a", 0.5, "reranked"), ("b", 0.2, "reranked")]
+def test_rerank_merge_equals_a_loop(spark):
+    rng = random.Random(12)
+    for _ in range(4):
+        hits = [(i, f"h{i}", round(rng.random(), 3), "rrf") for i in range(1, rng.randrange(3, 9))]
+        result = [(p, rng.choice([None, -1, 99, *range(len(hits))]), round(rng.random(), 3)) for p in range(rng.randrange(0, 10))]
+        limit, taken, want = rng.randrange(1, 9), set(), []
+        for _, i, score in result:
+            if i is not None and 0 <= i < len(hits) and i not in taken:
+                taken.add(i)
+                want.append((hits[i][1], score))
+        want += [(h[1], h[2]) for i, h in enumerate(hits) if i not in taken]
+        got = answers.merge_rerank_result(spark.createDataFrame(hits, "rank int, chunk_id string, score double, source string"), spark.createDataFrame(result, "pos int, index int, relevance_score double"), limit)
+        rows = got.orderBy("rank").collect()
+        assert [(r.chunk_id, r.score) for r in rows] == want[:limit] and {r.source for r in rows} == {"reranked"}
 
 
 def test_answers_and_events(spark):

@@ -11,13 +11,6 @@ from pagewright.operators.markdown import parse_blocks
 MD = "# Title\n\nintro\n\n<!-- page: 12 -->\n\n## Lock\n\nbody one\n\n- a\n- b\n\n```py\nx = 1\n```\n\n| a | b |\n| - | - |\n| 1 | 2 |\n\n---\n\n> said\n\n<div>raw</div>\n\nUnder\n===\n"
 
 
-def test_token_counts(spark):
-    cases = {"锁锁锁锁锁锁": 6, "。": 1, "a": 1, "abcd": 1, "abcde": 2, "abcdefgh": 2, "锁锁hello": 4, "": 0, "𠀀": 1}
-    got = spark.createDataFrame([(t,) for t in cases], "t string").select("t", scalars.token_count(F.col("t")).alias("n")).collect()
-    assert {r.t: r.n for r in got} == cases
-    assert all(chunking.count_tokens(t) == n for t, n in cases.items())
-
-
 def test_ids(spark):
     row = spark.range(1).select(scalars.stable_chunk_id(F.lit("redis"), F.lit(3)).alias("c"), scalars.point_id(F.lit("redis:000003")).alias("p")).first()
     assert row.c == "redis:000003"
