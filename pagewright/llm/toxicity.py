@@ -169,6 +169,17 @@ def _log_odds(buckets: list[np.ndarray], labels: np.ndarray, size: int) -> np.nd
     return np.where(toxic + clean > 0, np.log(p / (1 - p)) - math.log(share / (1 - share)), 0).astype(np.float32)
 
 
+def _spans(begin: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """The places of all spans, one span after another."""
+    return np.repeat(begin - (np.cumsum(length) - length), length) + np.arange(int(length.sum()))
+
+
+def _held(number: np.ndarray, begin: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct words that windows hold, the windows' words numbered among them, and where each window begins there."""
+    held, local = np.unique(number[_spans(begin, length)], return_inverse=True)
+    return held, local, np.cumsum(length) - length
+
+
 def fit(sample: list[tuple[int, str]], seed: int = 9) -> Scorer:
     """A scorer from (label, text) rows. Without rows of both classes it gives every text the share of toxic rows."""
     model = Scorer(seed)
@@ -236,12 +247,15 @@ def fit(sample: list[tuple[int, str]], seed: int = 9) -> Scorer:
                     part = by_fold[f][at : at + BATCH]
                     if not len(part):
                         continue
-                    logit, saved = model.windows_forward(xs[f], number, begin[part], length[part], keep=True)
+                    held, local, starts = _held(number, begin[part], length[part])
+                    x = xs[f][:, held]
+                    logit, saved = model.windows_forward(x, local, starts, length[part], keep=True)
                     p = 1 / (1 + np.exp(-np.clip(logit, -30, 30)))
-                    grads, dx = model.windows_backward(xs[f], saved, ((p - labels[owner[part]]) / len(part)).astype(np.float32))
-                    grads["word"] = np.stack([np.bincount(words & 4095, dx[3 + j], 4096) for j in range(VECTOR)]).astype(np.float32)
-                    count = np.diff(gptr)
-                    grads["gram"] = np.stack([np.bincount(grams & 4095, np.repeat(dx[3 + VECTOR + j] / count, count), 4096) for j in range(VECTOR)]).astype(np.float32)
+                    grads, dx = model.windows_backward(x, saved, ((p - labels[owner[part]]) / len(part)).astype(np.float32))
+                    grads["word"] = np.stack([np.bincount(words[held] & 4095, dx[3 + j], 4096) for j in range(VECTOR)]).astype(np.float32)
+                    count = np.diff(gptr)[held]
+                    own = grams[_spans(gptr[held], count)] & 4095
+                    grads["gram"] = np.stack([np.bincount(own, np.repeat(dx[3 + VECTOR + j] / count, count), 4096) for j in range(VECTOR)]).astype(np.float32)
                     adam.step(grads)
     logits = all_logits()
     best = np.full(len(labels), -np.inf)
