@@ -276,6 +276,29 @@ def test_toxicity_learns_from_whole_texts(spark, monkeypatch):
     assert few <= whole and Counter(y for y, _ in few) == {0: 2, 1: 2}
 
 
+def test_toxicity_steps_read_their_own_words_alone():
+    rng = random.Random(8)
+    texts = [_prose(rng, rng.randint(1, 90), [f"w{i}" for i in range(60)]).encode() for _ in range(12)]
+    model = toxicity.Scorer()
+    ptr, number, words, grams, gptr = toxicity.distinct_words(texts)
+    odds = np.random.default_rng(2).standard_normal((2, 1 << 17)).astype(np.float32)
+    features = model.inputs(words, grams, gptr, *odds)
+    _, begin, length = toxicity.windows(ptr)
+    part = slice(3, 9)
+    d = np.linspace(-1, 1, 6).astype(np.float32)
+    logit, saved = model.windows_forward(features, number, begin[part], length[part], keep=True)
+    grads, dx = model.windows_backward(features, saved, d)
+    held, local, starts = toxicity._held(number, begin[part], length[part])
+    few, kept = model.windows_forward(features[:, held], local, starts, length[part], keep=True)
+    own, dx_held = model.windows_backward(features[:, held], kept, d)
+    assert np.allclose(logit, few, atol=1e-5) and all(np.allclose(grads[k], own[k], atol=1e-4) for k in grads)
+    spread = np.zeros_like(dx)
+    spread[:, held] = dx_held
+    assert len(held) < len(words) and np.allclose(dx, spread, atol=1e-4)
+    many = toxicity._spans(gptr[held], np.diff(gptr)[held])
+    assert many.tolist() == [i for w in held.tolist() for i in range(gptr[w], gptr[w + 1])]
+
+
 def test_gradients_of_the_recurrent_network():
     from pagewright.llm import gru
 
