@@ -296,7 +296,7 @@ def _exact(threshold: float):
     """Rows of root, low, high, block, id, text in order of (root, low, high) -> links of each row and spanning edges."""
     arrow = pa.schema([("id", pa.int64()), ("links", pa.int64()), ("a", pa.int64()), ("b", pa.int64())])
 
-    def compare(ids: np.ndarray, block: np.ndarray, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def compare(ids: np.ndarray, block: np.ndarray, texts: list[str], across: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         grams, ptr = shingles(fold_texts(texts))
         n, m = np.diff(ptr), len(ids)
         owner = np.repeat(np.arange(m), n)
@@ -314,7 +314,7 @@ def _exact(threshold: float):
             common += dense @ dense.T
         linked = (1 + threshold) * common >= threshold * (n[:, None] + n[None, :]) - 1e-6
         np.fill_diagonal(linked, False)
-        if (block != block[0]).any():
+        if across:  # one of the two blocks may be empty
             linked &= block[:, None] != block[None, :]
         left, edges = np.ones(m, bool), []
         for seed in range(m):
@@ -336,7 +336,7 @@ def _exact(threshold: float):
         for lo, hi in zip(first.tolist(), [*first[1:].tolist(), batch.num_rows], strict=True):
             part = batch.slice(lo, hi - lo)
             ids = part.column(4).to_numpy()
-            links, a, b = compare(ids, part.column(3).to_numpy(), part.column(5).to_pylist())
+            links, a, b = compare(ids, part.column(3).to_numpy(), part.column(5).to_pylist(), bool(key[1, lo] != key[2, lo]))
             none = lambda n: pa.nulls(n, pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([ids, ids[:0]])), pa.array(links.astype(np.int64)), none(len(ids)), none(len(ids))], schema=arrow)
             yield pa.RecordBatch.from_arrays([none(len(a)), none(len(a)), pa.array(a), pa.array(b)], schema=arrow)

@@ -5,6 +5,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -62,6 +63,19 @@ def test_near_duplicates(spark, mixed):
     assert chosen_path.near_duplicates(_docs(spark, mixed).filter("false")).count() == 0
 
 
+def test_a_block_without_rows_counts_no_link_twice():
+    text = " ".join(f"w{i}" for i in range(100))
+    rows = [(1, 0, high, 0, i, f"{text} {i}") for high in (0, 1) for i in (5, 6)]  # block 1 of the group got no row
+    names = ["root", "low", "high", "block", "id", "text"]
+    batch = pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows, strict=True)], names=names)
+    got = Counter()
+    for part in chosen_path._exact(0.8)(iter([batch])):
+        for r in part.to_pylist():
+            if r["id"] is not None:
+                got[r["id"]] += r["links"]
+    assert got == {5: 1, 6: 1}
+
+
 def test_large_near_group_is_split_by_pivots(spark, monkeypatch):
     rng = random.Random(3)
     base = [f"w{i}" for i in range(120)]
