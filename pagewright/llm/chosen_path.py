@@ -306,7 +306,7 @@ def _exact(threshold: float):
         number = np.cumsum(fresh) - 1
         shared = np.bincount(number)[number] > 1
         owner, number = owner[shared], np.unique(number[shared], return_inverse=True)[1]
-        common = np.zeros((m, m), np.float32)
+        common = np.zeros((m, m))  # in double precision, so that a similarity of just the threshold is a link
         for c in range(0, int(number[-1]) + 1 if len(number) else 0, COLUMNS):
             lo, hi = np.searchsorted(number, [c, c + COLUMNS])
             dense = np.zeros((m, min(COLUMNS, int(number[-1]) + 1 - c)), np.float32)

@@ -76,6 +76,16 @@ def test_a_block_without_rows_counts_no_link_twice():
     assert got == {5: 1, 6: 1}
 
 
+def test_a_similarity_of_just_the_threshold_is_a_link():
+    words = [f"w{i}" for i in range(400)]
+    for extra in range(1, 40):  # sets of 4 e and 5 e grams, the smaller within the larger
+        rows = [(1, 0, 0, 0, i, " ".join(words[: n + 4])) for i, n in ((5, 4 * extra), (6, 5 * extra), (7, 5 * extra + 1))]
+        batch = pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows, strict=True)], names=["root", "low", "high", "block", "id", "text"])
+        found = [r for part in chosen_path._exact(0.8)(iter([batch])) for r in part.to_pylist()]
+        want = {5: 1, 6: 1 + (5 * extra >= 0.8 * (5 * extra + 1)), 7: int(5 * extra >= 0.8 * (5 * extra + 1))}
+        assert {r["id"]: r["links"] for r in found if r["id"] is not None} == want
+
+
 def test_large_near_group_is_split_by_pivots(spark, monkeypatch):
     rng = random.Random(3)
     base = [f"w{i}" for i in range(120)]
