@@ -359,7 +359,48 @@ def _exact(threshold: float):
     return run
 
 
-def similar_classes(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
+def _blocks(rows, grams):
+    """How many blocks the exact comparison makes of so many rows with so many grams."""
+    return F.ceil(F.greatest(rows / BLOCK, grams / BLOCK_GRAMS)).cast("int")
+
+
+def _compared(docs: DataFrame, placed: DataFrame, threshold: float) -> DataFrame:
+    """Links (id, links) and spanning edges (a, b) among rows of node, root, block, first, last, step, doc_id, h. A row
+    meets its own block and those from first to last by step; its text is found again by doc_id and hash."""
+    key = [F.col("doc_id"), F.xxhash64("text")]
+    maybe, _ = MaybeIn(placed, "doc_id", "h").split(docs.select("doc_id", "text"), *key)
+    placed = placed.withColumnsRenamed({"doc_id": "_doc", "h": "_h"})
+    same = F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.xxhash64("text") == F.col("_h"))
+    texts = maybe.join(placed.hint("merge"), same).groupBy("node", "root", "block", "first", "last", "step").agg(F.any_value("text").alias("text"))  # repeated rows have one text
+    texts = texts.select("root", "block", "text", F.col("node").alias("id"), F.explode(F.sequence("first", "last", "step")).alias("other"))
+    texts = texts.select("root", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "id", "text")
+    compared = texts.repartition("root", "low", "high").sortWithinPartitions("root", "low", "high").mapInArrow(_exact(threshold), "id long, links long, a long, b long")
+    return Table(compared, "links").read()
+
+
+def _edges_of_rest(docs: DataFrame, members: DataFrame, edges: DataFrame, threshold: float) -> DataFrame:
+    """What is left of the edges that span each group, once its blocks have been compared in themselves and with one of
+    them: only pairs within the group's largest part need no look. The rest, often no row at all, meets the whole group."""
+    members = members.filter("blocks > 1")
+    if members.isEmpty():
+        return edges
+    parts = connected_components(edges.join(members.select(F.col("node").alias("a")), "a", "left_semi")).withColumnRenamed("root", "part")
+    members = Table(members.select("node", "root", "n", "doc_id", "h").join(parts, "node", "left").withColumn("part", F.coalesce("part", "node")), "parts").read()
+    counts = members.groupBy("root", "part").agg(F.count(F.lit(1)).alias("rows"), F.sum("n").alias("grams"))
+    counts = counts.groupBy("root").agg(F.max_by(F.struct("part", "rows", "grams"), F.struct("rows", "part")).alias("main"), F.sum("rows").alias("rows"), F.sum("grams").alias("grams"))
+    left = F.col("rows") - F.col("main.rows"), F.col("grams") - F.col("main.grams")
+    counts = counts.filter(left[0] > 0).select("root", F.col("main.part").alias("main"), _blocks(*left).alias("rest"), _blocks(F.col("main.rows"), F.col("main.grams")).alias("others"))
+    counts = Table(counts, "rest").read()
+    if counts.isEmpty():
+        return edges
+    is_rest, node = F.col("part") != F.col("main"), F.xxhash64("node")
+    block = F.when(is_rest, F.pmod(node, F.col("rest"))).otherwise(F.col("rest") + F.pmod(node, F.col("others"))).cast("int")
+    last = F.when(is_rest, F.col("rest") + F.col("others") - 1).otherwise(F.col("rest") - 1)
+    placed = members.join(counts, "root").select("node", "root", block.alias("block"), F.lit(0).alias("first"), last.alias("last"), F.lit(1).alias("step"), "doc_id", "h")
+    return edges.unionByName(_compared(docs, placed, threshold).filter("id is null").select("a", "b"))
+
+
+def similar_classes(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL, count_links: bool = True) -> DataFrame:
     """Per row of ``docs`` (doc_id of any type, text): rid, doc_id, h, class_id, n_links, n_copies, keep_rid.
 
     ``rid``: a number given to the row here; ``h``: a hash of its text. ``class_id``: the smallest doc_id of the connected
@@ -370,10 +411,11 @@ def similar_classes(docs: DataFrame, threshold: float = THRESHOLD, recall: float
     has a null class_id.
 
     Texts are read twice, for their sets and for the exact comparison; the second time only those of candidate groups
-    move, found again by doc_id and ``h``.
+    move, found again by doc_id and ``h``. Links are counted by comparing every pair of a group's blocks. Without
+    ``count_links`` n_links is null, and blocks are compared only as far as classes depend on it: in themselves, with one
+    of them, and with the rows outside the largest part that this gives; classes are the same.
     """
-    key = [F.col("doc_id"), F.xxhash64("text")]
-    narrow = docs.select(F.monotonically_increasing_id().alias("rid"), "doc_id", key[1].alias("h"), "text")
+    narrow = docs.select(F.monotonically_increasing_id().alias("rid"), "doc_id", F.xxhash64("text").alias("h"), "text")
     schema = narrow.drop("text").schema.simpleString()[len("struct<") : -1]
     sets = Table(narrow.mapInArrow(_embed, f"{schema}, {SETS}"), "sets").read()
     filled = sets.filter("n > 0")
@@ -382,24 +424,26 @@ def similar_classes(docs: DataFrame, threshold: float = THRESHOLD, recall: float
     leaders = Table(leaders.select("id", "doc_id", "h", "n", "coords", "sketch"), "leaders").read()
     groups = Table(connected_components(candidate_edges(leaders, runs_for(recall, threshold))), "groups").read()
     named = Table(groups.join(leaders.select(F.col("id").alias("node"), "doc_id", "h", "n"), "node"), "members").read()
-    blocks = F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK, F.sum("n") / BLOCK_GRAMS)).cast("int")
-    sizes = Table(named.groupBy("root").agg(blocks.alias("blocks")), "sizes").read()
-    named = named.join(sizes, "root").select("node", "root", "blocks", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block"), "doc_id", "h")
-    maybe, _ = MaybeIn(named, "doc_id", "h").split(docs.select("doc_id", "text"), *key)
-    named = named.withColumnsRenamed({"doc_id": "_doc", "h": "_h"})
-    same = F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.xxhash64("text") == F.col("_h"))
-    texts = maybe.join(named.hint("merge"), same).groupBy("node", "root", "block", "blocks").agg(F.any_value("text").alias("text"))  # repeated rows have one text
-    placed = texts.select("root", "block", "text", F.col("node").alias("id"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    placed = placed.select("root", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "id", "text")
-    compared = placed.repartition("root", "low", "high").sortWithinPartitions("root", "low", "high").mapInArrow(_exact(threshold), "id long, links long, a long, b long")
-    compared = Table(compared, "links").read()
-    links = compared.filter("id is not null").groupBy("id").agg(F.sum("links").alias("n_links"))
-    parts = connected_components(compared.filter("id is null").select("a", "b")).withColumnRenamed("node", "id")
-    classes = classes.join(links, "id", "left").join(parts, "id", "left").select("sig", "n_copies", F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("root", "id").alias("root"))
+    sizes = Table(named.groupBy("root").agg(_blocks(F.count(F.lit(1)), F.sum("n")).alias("blocks")), "sizes").read()
+    named = named.join(sizes, "root").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    last, step = (F.col("blocks") - 1, F.lit(1)) if count_links else (F.col("block"), F.greatest("block", F.lit(1)))
+    placed = named.select("node", "root", "block", F.lit(0).alias("first"), last.alias("last"), step.alias("step"), "doc_id", "h")
+    compared = _compared(docs, placed, threshold)
+    edges = compared.filter("id is null").select("a", "b")
+    if not count_links:
+        edges = _edges_of_rest(docs, named, edges, threshold)
+    parts = connected_components(edges).withColumnRenamed("node", "id")
+    classes = classes.join(parts, "id", "left")
+    n_links = F.lit(None).cast("long")
+    if count_links:
+        links = compared.filter("id is not null").groupBy("id").agg(F.sum("links").alias("n_links"))
+        classes, n_links = classes.join(links, "id", "left"), F.coalesce("n_links", F.lit(0))
+    classes = classes.select("sig", "n_copies", n_links.alias("n_links"), F.coalesce("root", "id").alias("root"))
     known = Table(filled.select("rid", "doc_id", "h", "sig").join(classes, "sig").select("rid", "doc_id", "h", "n_copies", "n_links", "root"), "known").read()
     best = Table(known.groupBy("root").agg(F.min(F.struct("doc_id", "rid")).alias("first"), F.min("doc_id").alias("class_id")), "best").read()
     linked = known.join(best, "root").select("rid", "doc_id", "h", "class_id", "n_links", "n_copies", F.col("first.rid").alias("keep_rid"))
-    alone = sets.filter("n = 0").select("rid", "doc_id", "h", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"), F.lit(1).cast("long").alias("n_copies"), F.col("rid").alias("keep_rid"))
+    none = F.lit(0 if count_links else None).cast("long")
+    alone = sets.filter("n = 0").select("rid", "doc_id", "h", F.col("doc_id").alias("class_id"), none.alias("n_links"), F.lit(1).cast("long").alias("n_copies"), F.col("rid").alias("keep_rid"))
     return linked.unionByName(alone)
 
 
@@ -411,7 +455,7 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, recall: float
 def drop_near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
     """One row of each group of linked documents, with all columns; texts without words all stay. Rows are named by doc_id
     and a hash of the text; where rows repeat both and one of them stays, any one of them is taken."""
-    found = similar_classes(docs, threshold, recall)
+    found = similar_classes(docs, threshold, recall, count_links=False)
     some = found.groupBy("doc_id", "h").agg(F.count_if(F.col("rid") != F.col("keep_rid")).alias("gone"), F.count_if(F.col("rid") == F.col("keep_rid")).alias("stays")).filter("gone > 0")
     gone = Table(some, "dropped").read()
     key = [F.col("doc_id"), F.xxhash64("text")]

@@ -86,6 +86,29 @@ def test_a_similarity_of_just_the_threshold_is_a_link():
         assert {r["id"]: r["links"] for r in found if r["id"] is not None} == want
 
 
+def test_classes_without_counts_equal_brute_force(spark, monkeypatch):
+    rng = random.Random(9)
+    texts = []
+    for g in range(3):  # chains: each text differs from the one before in one word, or in two that are not linked then
+        w = [f"g{g}w{i}" for i in range(90)]
+        for i in range(30 + 30 * g):
+            for _ in range(1 + (rng.random() < 0.15)):
+                w[rng.randrange(90)] = f"g{g}n{rng.random()}"
+            texts.append(" ".join(w))
+    rng.shuffle(texts)
+    monkeypatch.setattr(chosen_path, "BLOCK", 7)
+    docs = _docs(spark, texts)
+    sets, links = [chosen_path.shingles(fold_texts([t]))[0] for t in texts], []
+    for i, a in enumerate(sets):
+        links += [(i, j) for j in range(i) if 9 * len(np.intersect1d(a, sets[j])) >= 4 * (len(a) + len(sets[j]))]
+    root = list(range(len(texts)))
+    for _ in texts:
+        for i, j in links:
+            root[i] = root[j] = min(root[i], root[j])
+    got = chosen_path.similar_classes(docs, count_links=False).collect()
+    assert {r.doc_id: (r.class_id, r.n_links) for r in got} == {i: (r, None) for i, r in enumerate(root)} and 3 < len(set(root)) < len(texts)
+
+
 def test_large_near_group_is_split_by_pivots(spark, monkeypatch):
     rng = random.Random(3)
     base = [f"w{i}" for i in range(120)]
