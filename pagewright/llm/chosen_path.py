@@ -2,13 +2,18 @@
 
 Texts become sets of hashed word 5-grams; equal sets are one class from the start. A class is embedded as a vector of
 minwise values, whose coordinates are the tokens that paths are chosen from: two sets of similarity s share each with
-probability s. Every run starts at a root, and each node of the recursion splits its sets on a few coordinates drawn
-from its path; sets that share the value go down together. Buckets of bounded size are compared by brute force on bit
-sketches; larger ones split again. A bucket that similar sets keep large cannot be split by chance, so a node is first
-compared with a pivot: all within an outer distance of it are joined to it, and only sets beyond an inner distance go
-on. The two differ by a link's span and the noise of the sketches, so that one pivot loses a link of the least similarity
-with a chance of 3.4e-5 at most. Runs repeat until such a link is met with the target recall: 9 runs miss 5.5e-5 where
-every node splits again, and the comparison of sketches misses 0.7e-5, together 9.7e-5 at the threshold of 0.8.
+probability s. Every run starts at a root, and each node of the recursion splits its sets on coordinates drawn from its
+path; sets that share the value go down together. Buckets of bounded size are compared by brute force on bit sketches;
+larger ones split again. A bucket that similar sets keep large cannot be split by chance, so a node is first compared
+with a pivot: all within an outer distance of it are joined to it, and only sets beyond an inner distance go on, and
+these only where the node holds a set beyond the outer distance, for all others are in the pivot's group by then. The two
+distances differ by a link's span and the noise of the sketches, so that one pivot loses a link of the least similarity
+with a chance of 3.4e-5 at most.
+
+A node below a root has as many children as keep a link's two sets together with even odds, one and for one path in
+four a second, so that texts that share a part do not multiply; a root has FIRST. A bucket still large after DEPTH splits
+is compared block by block on its sketches, so no branch ends without a comparison. Runs repeat until a link of the least
+similarity is met with the target recall: 10 runs miss 3e-5 where every node splits to the last depth.
 
 What is found joins sets to candidate groups. Each group is then compared exactly on its full sets, in blocks of bounded
 size, so that links, their counts and classes rest on true Jaccard similarities. Pairs are never written out.
@@ -17,7 +22,8 @@ size, so that links, their counts and classes rest on true Jaccard similarities.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -34,7 +40,8 @@ RECALL = 0.9999
 #: Minwise values of a set: the first COORDS are what paths choose from, the low bits of all are the sketch.
 MINWISE = 256
 COORDS = 64
-CHILDREN = 2
+#: Children of a root, one path in how many below has a second child, splits of a branch at most, sets of a small bucket.
+FIRST, SECOND, DEPTH = 4, 4, 4
 BUCKET = 1000
 #: Sketch similarity from which a pair is a candidate, and the pivot's inner and outer similarity.
 CANDIDATE = 0.62
@@ -52,17 +59,23 @@ def _binomial(n: int, p: float) -> np.ndarray:
     return np.array([math.comb(n, k) * p**k * (1 - p) ** (n - k) for k in range(n + 1)])
 
 
+def parted(share: np.ndarray) -> np.ndarray:
+    """How likely the splits of a large root part a pair that agrees in a share of the coordinates, down to DEPTH."""
+    lost = np.zeros_like(share)
+    for _ in range(DEPTH - 1):
+        one = 1 - share + share * lost
+        lost = one * (1 - 1 / SECOND) + one**2 / SECOND
+    return (1 - share + share * lost) ** FIRST
+
+
 def runs_miss(runs: int, similarity: float) -> float:
-    """How likely a pair of the similarity meets in no run, where every node below the roots is large and splits again:
-    the pair agrees in a binomial number of its COORDS values; a run succeeds where its root's value is among them and,
-    as a branching process over CHILDREN draws of the same values, the pair is never parted."""
-    share = np.arange(COORDS + 1) / COORDS
-    parted = np.zeros(COORDS + 1)
-    for _ in range(2000):
-        parted = (1 - share + share * parted) ** CHILDREN
+    """How likely a pair of the similarity meets in no run, where every node is large and splits to the last: the pair
+    agrees in a binomial number of its COORDS values; a run succeeds where its root's value is among them and the splits
+    below, which draw from the same values, do not part the pair."""
+    apart = parted(np.arange(COORDS + 1) / COORDS)
     roots, others = _binomial(runs, similarity), _binomial(COORDS - runs, similarity)
     at = np.arange(runs + 1)[:, None]
-    return float((roots[:, None] * others[None, :] * parted[at + np.arange(COORDS - runs + 1)[None, :]] ** at).sum())
+    return float((roots[:, None] * others[None, :] * apart[at + np.arange(COORDS - runs + 1)[None, :]] ** at).sum())
 
 
 def sketch_miss(similarity: float) -> float:
@@ -80,10 +93,10 @@ def runs_for(recall: float, similarity: float) -> int:
     return next((r for r in range(1, COORDS) if runs_miss(r, similarity) <= may), COORDS)
 
 
-def shingles(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+def shingles(texts: list[bytes], kind: np.ndarray = TERM) -> tuple[np.ndarray, np.ndarray]:
     """Sorted distinct 5-gram hashes of each text, one after another, and their pointers. Texts of fewer words, but not
     none, have all their words as one gram; wordless texts have no grams."""
-    h, _, _, ptr, _ = words_of(texts, TERM)
+    h, _, _, ptr, _ = words_of(texts, kind)
     sizes = np.diff(ptr)
     n = np.where(sizes >= WORDS, sizes - WORDS + 1, np.minimum(sizes, 1))
     starts = np.repeat(ptr[:-1], n) + (np.arange(n.sum()) - np.repeat(np.concatenate([[0], np.cumsum(n)])[:-1], n))
@@ -127,33 +140,62 @@ def similarity(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return 1 - 2 * np.bitwise_count(a ^ b).sum(axis=-1, dtype=np.int64) / MINWISE
 
 
-SETS = "sig binary, n int, coords binary, sketch binary"
-SETS_ARROW = [("sig", pa.binary()), ("n", pa.int32()), ("coords", pa.binary()), ("sketch", pa.binary())]
-
-
-def _embed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows that end in a text -> their other columns, signature of the set, its size, path coordinates and sketch; all
-    empty for empty sets."""
-    for batch in batches:
-        carry, schema = batch.columns[:-1], pa.schema([*list(batch.schema)[:-1], *SETS_ARROW])
-        for lo, hi, texts in folded_slices(batch.columns[-1], GROUP_BYTES):
-            grams, ptr = shingles(texts)
-            values = minwise(grams, ptr)
-            bits, coords = sketch_bits(values), np.ascontiguousarray(values[:, :COORDS])
-            n = np.diff(ptr)
-            filled = np.flatnonzero(n)
-            sums = [np.zeros(hi - lo, np.uint64), np.zeros(hi - lo, np.uint64)]
-            if len(filled):  # sums of two independent scramblings tell sets apart
-                for s, salt in zip(sums, (0x5851F42D4C957F2D, 0x14057B7EF767814F), strict=True):
-                    s[filled] = np.add.reduceat(mix(grams ^ np.uint64(salt)), ptr[:-1][filled])
-            row = {int(d): i for i, d in enumerate(filled)}
-            yield pa.RecordBatch.from_arrays([
-                *(c.slice(lo, hi - lo) for c in carry),
-                pa.array([sums[0][d].tobytes() + sums[1][d].tobytes() if d in row else None for d in range(hi - lo)], pa.binary()),
-                pa.array(n.astype(np.int32)),
-                pa.array([coords[row[d]].tobytes() if d in row else None for d in range(hi - lo)], pa.binary()),
-                pa.array([bits[row[d]].tobytes() if d in row else None for d in range(hi - lo)], pa.binary()),
-            ], schema=schema)
+@dataclass(frozen=True)
+class Scheme:
+    """How texts become sets and where sets meet: the bytes of words, the least similarity of a link, sketches of minwise
+    values and the similarity that two of them tell, from which on a bucket's pair is a candidate, the pivot's inner and
+    outer similarity, and the roots of a set's minwise values."""
+
+    kind: np.ndarray
+    threshold: float
+    sketch: Callable[[np.ndarray], np.ndarray]
+    estimate: Callable[[np.ndarray, np.ndarray], np.ndarray]
+    candidate: float
+    inner: float
+    outer: float
+    roots: Callable[[np.ndarray], np.ndarray]
+
+
+def chosen_paths(threshold: float, recall: float) -> Scheme:
+    runs = runs_for(recall, threshold)
+
+    def roots(values: np.ndarray) -> np.ndarray:
+        start = np.random.default_rng(5).permutation(COORDS)[:runs]
+        return mix(mix(values[:, start].astype(np.uint64) + np.uint64(0xD6E8FEB8)) + np.arange(1, runs + 1, dtype=np.uint64))
+
+    return Scheme(TERM, threshold, sketch_bits, similarity, CANDIDATE, INNER, OUTER, roots)
+
+
+SETS = "sig binary, n int, coords binary, sketch binary, roots binary"
+SETS_ARROW = [("sig", pa.binary()), ("n", pa.int32()), ("coords", pa.binary()), ("sketch", pa.binary()), ("roots", pa.binary())]
+
+
+def _embed(scheme: Scheme):
+    """Rows that end in a text -> their other columns, signature of the set, its size, path coordinates, sketch and roots;
+    all empty for empty sets."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            carry, schema = batch.columns[:-1], pa.schema([*list(batch.schema)[:-1], *SETS_ARROW])
+            for lo, hi, texts in folded_slices(batch.columns[-1], GROUP_BYTES):
+                grams, ptr = shingles(texts, scheme.kind)
+                values = minwise(grams, ptr)
+                n = np.diff(ptr)
+                filled = np.flatnonzero(n)
+                made = [np.ascontiguousarray(values[:, :COORDS]), scheme.sketch(values), np.ascontiguousarray(scheme.roots(values))]
+                sums = [np.zeros(hi - lo, np.uint64), np.zeros(hi - lo, np.uint64)]
+                if len(filled):  # sums of two independent scramblings tell sets apart
+                    for s, salt in zip(sums, (0x5851F42D4C957F2D, 0x14057B7EF767814F), strict=True):
+                        s[filled] = np.add.reduceat(mix(grams ^ np.uint64(salt)), ptr[:-1][filled])
+                row = {int(d): i for i, d in enumerate(filled)}
+                yield pa.RecordBatch.from_arrays([
+                    *(c.slice(lo, hi - lo) for c in carry),
+                    pa.array([sums[0][d].tobytes() + sums[1][d].tobytes() if d in row else None for d in range(hi - lo)], pa.binary()),
+                    pa.array(n.astype(np.int32)),
+                    *(pa.array([m[row[d]].tobytes() if d in row else None for d in range(hi - lo)], pa.binary()) for m in made),
+                ], schema=schema)
+
+    return run
 
 
 NODES = "path long, id long, coords binary, sketch binary"
@@ -174,47 +216,62 @@ def _rows(batch: pa.RecordBatch, name: str, dtype) -> np.ndarray:
     return np.frombuffer(b"".join(batch.column(batch.schema.get_field_index(name)).to_pylist()), dtype).reshape(batch.num_rows, -1)
 
 
-def _roots(runs: int, payload: list[str]):
-    """Rows of id, coords, sketch -> a row for each run at the path of the run's first split, with the payload columns."""
+def _seconds(path: np.ndarray) -> np.ndarray:
+    """Which paths have a second child."""
+    return mix(path.view(np.uint64) ^ np.uint64(0xA0761D6478BD642F)) % np.uint64(SECOND) == 0
+
+
+def _roots(payload: list[str]):
+    """Rows of id, the payload columns, roots -> a row for each root with the payload columns."""
     schema = pa.schema([NODES_ARROW.field(c) for c in ("path", "id", *payload)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        start = np.random.default_rng(5).permutation(COORDS).tolist()
+        for batch in batches:
+            if batch.num_rows:
+                for path in _rows(batch, "roots", np.int64).T:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(path)), *(batch.column(batch.schema.get_field_index(c)) for c in ("id", *payload))], schema=schema)
+
+    return run
+
+
+def _tie(scheme: Scheme):
+    """Rows of large nodes with their pivot -> edges to the pivot, and rows too far from it (b null), each with its node."""
+    schema = pa.schema([("path", pa.int64()), ("a", pa.int64()), ("b", pa.int64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            path, ids, pivots = (batch.column(batch.schema.get_field_index(c)).to_numpy() for c in ("path", "id", "pivot_id"))
+            tied = scheme.estimate(_rows(batch, "sketch", np.uint64), _rows(batch, "pivot_sketch", np.uint64)) >= scheme.outer
+            said = np.flatnonzero(~tied | (ids != pivots))
+            yield pa.RecordBatch.from_arrays([pa.array(path[said]), pa.array(ids[said]), pa.array(pivots[said], mask=~tied[said])], schema=schema)
+
+    return run
+
+
+def _split(scheme: Scheme, at_root: bool):
+    """Rows of large nodes with their pivot -> those that are not near it, at the child nodes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            coords = _rows(batch, "coords", np.uint32)
-            for r in range(runs):
-                value = coords[:, start[r % COORDS]].astype(np.uint64)
-                path = mix(mix(value + np.uint64(0xD6E8FEB8)) + np.uint64(r + 1)).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(path), *(batch.column(batch.schema.get_field_index(c)) for c in ("id", *payload))], schema=schema)
+            near = scheme.estimate(_rows(batch, "sketch", np.uint64), _rows(batch, "pivot_sketch", np.uint64))
+            rest = batch.take(pa.array(np.flatnonzero(near < scheme.inner)))
+            path = rest.column(rest.schema.get_field_index("path")).to_numpy()
+            for child in range(FIRST if at_root else 2):
+                part = rest if at_root or not child else rest.filter(pa.array(_seconds(path)))
+                if part.num_rows:
+                    get = lambda c, b=part: b.column(b.schema.get_field_index(c))
+                    step = _step(get("path").to_numpy(), _rows(part, "coords", np.uint32), child)
+                    yield pa.RecordBatch.from_arrays([pa.array(step), get("id"), get("coords"), get("sketch")], schema=NODES_ARROW)
 
     return run
 
 
-def _split_heavy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of large nodes with their pivot -> edges to the pivot (path null) and rows of the child nodes."""
-    arrow = pa.schema([("a", pa.int64()), ("b", pa.int64()), *NODES_ARROW])
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        get = lambda c, b=batch: b.column(b.schema.get_field_index(c))
-        ids, pivots = get("id").to_numpy(), get("pivot_id").to_numpy()
-        near = similarity(_rows(batch, "sketch", np.uint64), _rows(batch, "pivot_sketch", np.uint64))
-        tied = np.flatnonzero((near >= OUTER) & (ids != pivots))
-        empty = lambda n, t: pa.nulls(n, t)
-        yield pa.RecordBatch.from_arrays([pa.array(ids[tied]), pa.array(pivots[tied]), empty(len(tied), pa.int64()), empty(len(tied), pa.int64()), empty(len(tied), pa.binary()), empty(len(tied), pa.binary())], schema=arrow)
-        on = np.flatnonzero(near < INNER)
-        rest = batch.take(pa.array(on))
-        if len(on):
-            path, coords = get("path").to_numpy()[on], _rows(rest, "coords", np.uint32)
-            for child in range(CHILDREN):
-                yield pa.RecordBatch.from_arrays([empty(len(on), pa.int64()), empty(len(on), pa.int64()), pa.array(_step(path, coords, child)), pa.array(ids[on]), rest.column(rest.schema.get_field_index("coords")), rest.column(rest.schema.get_field_index("sketch"))], schema=arrow)
-
-
-def _brute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _brute(scheme: Scheme):
     """Rows in order of path -> (a, b) edges that span the candidate groups of each bucket."""
-    held: list[pa.RecordBatch] = []
 
     def edges(batch: pa.RecordBatch) -> pa.RecordBatch | None:
         path = batch.column(0).to_numpy()
@@ -225,7 +282,7 @@ def _brute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, sk = batch.column(1).to_numpy(), _rows(batch, "sketch", np.uint64)
         out = []
         two = first[size == 2]
-        ok = similarity(sk[two], sk[two + 1]) >= CANDIDATE
+        ok = scheme.estimate(sk[two], sk[two + 1]) >= scheme.candidate
         out.append((ids[two[ok]], ids[two[ok] + 1]))
         for f, n in zip(first[size > 2].tolist(), size[size > 2].tolist(), strict=True):
             own, rest = sk[f : f + n], np.arange(n)
@@ -238,53 +295,68 @@ def _brute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     hit = np.zeros(len(rest), bool)
                     source = np.zeros(len(rest), np.int64)
                     for x in front.tolist():
-                        new = ~hit & (similarity(own[rest], own[x]) >= CANDIDATE)
+                        new = ~hit & (scheme.estimate(own[rest], own[x]) >= scheme.candidate)
                         hit |= new
                         source[new] = x
                     out.append((ids[f + rest[hit]], ids[f + source[hit]]))
                     front, rest = rest[hit], rest[~hit]
         return pa.RecordBatch.from_arrays([pa.array(np.concatenate([x[0] for x in out])), pa.array(np.concatenate([x[1] for x in out]))], schema=EDGES_ARROW)
 
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        held.append(batch)
-        whole = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
-        path = whole.column(0).to_numpy()
-        cut = int(np.searchsorted(path, path[-1]))  # the last bucket may go on
-        if cut:
-            if (got := edges(whole.slice(0, cut))) is not None:
-                yield got
-            held = [whole.slice(cut)]
-        else:
-            held = [whole]
-    if held and (got := edges(held[0])) is not None:
-        yield got
-
-
-def candidate_edges(sets: DataFrame, runs: int) -> DataFrame:
-    """Edges (a, b) that span groups of likely similar sets, from rows of id, coords, sketch. Every split takes at least
-    the pivots out of large nodes, so it ends."""
-    sets = sets.select("id", "coords", "sketch")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            held.append(batch)
+            whole = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            path = whole.column(0).to_numpy()
+            cut = int(np.searchsorted(path, path[-1]))  # the last bucket may go on
+            if cut:
+                if (got := edges(whole.slice(0, cut))) is not None:
+                    yield got
+                held = [whole.slice(cut)]
+            else:
+                held = [whole]
+        if held and (got := edges(held[0])) is not None:
+            yield got
+
+    return run
+
+
+def candidate_edges(sets: DataFrame, scheme: Scheme) -> DataFrame:
+    """Edges (a, b) that span groups of likely similar sets, from rows of id, coords, sketch, roots."""
     kinds = {"path": "path long", "id": "id long", "coords": "coords binary", "sketch": "sketch binary"}
-    at_root = lambda *c: sets.mapInArrow(_roots(runs, list(c)), ", ".join(kinds[x] for x in ("path", "id", *c)))
+    at_root = lambda *c: sets.select("id", *c, "roots").mapInArrow(_roots(list(c)), ", ".join(kinds[x] for x in ("path", "id", *c)))
     bare, light_rows, full = at_root(), at_root("sketch"), at_root("coords", "sketch")
+    compared = lambda rows: rows.select("path", "id", "sketch").repartition("path").sortWithinPartitions("path", "id").mapInArrow(_brute(scheme), "a long, b long")
     found = []
-    while True:
-        sizes = bare.groupBy("path").agg(F.count(F.lit(1)).alias("size"), F.min("id").alias("pivot_id")).filter(F.col("size") > BUCKET)
-        heavy = Table(sizes.select("path", "pivot_id"), "heavy").read()
+    for depth in range(DEPTH + 1):
+        sizes = bare.groupBy("path").agg(F.count(F.lit(1)).alias("size"), F.min("id").alias("pivot_id")).filter("size > 1")
+        sizes = Table(sizes, "nodes").read()
+        heavy = Table(sizes.filter(F.col("size") > BUCKET), "heavy").read()
         few = heavy.count()
         # few heavy nodes go to the rows, so that rows of light nodes are not exchanged with their coordinates
         beside = F.broadcast if few <= BROADCAST_NODES else lambda df: df.hint("merge")
-        light = light_rows.join(beside(heavy.select("path")), "path", "left_anti")
-        found.append(light.select("path", "id", "sketch").repartition("path").sortWithinPartitions("path", "id").mapInArrow(_brute, "a long, b long"))
+        if not depth:  # most sets meet no other at most roots
+            light_rows = MaybeIn(sizes, "path").split(light_rows, F.col("path"))[0]
+        found.append(compared(light_rows.join(beside(heavy.select("path")), "path", "left_anti")))
         if not few:
             break
-        pivots = sets.select(F.col("id").alias("pivot_id"), F.col("sketch").alias("pivot_sketch")).join(beside(heavy), "pivot_id")
-        split = full.join(beside(pivots), "path").select("path", "id", "coords", "sketch", "pivot_id", "pivot_sketch").mapInArrow(_split_heavy, "a long, b long, " + NODES)
-        split = Table(split, "split").read()
-        found.append(split.filter("path is null").select("a", "b"))
-        full = split.filter("path is not null").select("path", "id", "coords", "sketch")
+        if depth == DEPTH:
+            blocks = heavy.select("path", F.ceil(F.col("size") / BUCKET).cast("int").alias("blocks"))
+            rows = light_rows.join(beside(blocks), "path").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+            rows = rows.select("path", "id", "sketch", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+            found.append(compared(rows.withColumn("path", F.xxhash64("path", F.least("block", "other"), F.greatest("block", "other")))))
+            break
+        pivots = sets.select(F.col("id").alias("pivot_id"), F.col("sketch").alias("pivot_sketch")).join(beside(heavy.select("path", "pivot_id")), "pivot_id")
+        pivots = Table(pivots, "pivots").read()
+        tied = light_rows.join(beside(pivots), "path").select("path", "id", "sketch", "pivot_id", "pivot_sketch")
+        tied = Table(tied.mapInArrow(_tie(scheme), "path long, a long, b long"), "tied").read()
+        found.append(tied.filter("b is not null").select("a", "b"))
+        # where all of a node are tied to its pivot, no partner of theirs is left to meet in it
+        going = Table(pivots.join(tied.filter("b is null").select("path").distinct(), "path", "left_semi"), "going").read()
+        split = full.join(beside(going), "path").select("path", "id", "coords", "sketch", "pivot_id", "pivot_sketch")
+        full = Table(split.mapInArrow(_split(scheme, not depth), NODES), "split").read()
         bare, light_rows = full.select("path", "id"), full.select("path", "id", "sketch")
     edges = found[0]
     for e in found[1:]:
@@ -292,12 +364,12 @@ def candidate_edges(sets: DataFrame, runs: int) -> DataFrame:
     return edges
 
 
-def _exact(threshold: float):
+def _exact(threshold: float, kind: np.ndarray = TERM):
     """Rows of root, low, high, block, id, text in order of (root, low, high) -> links of each row and spanning edges."""
     arrow = pa.schema([("id", pa.int64()), ("links", pa.int64()), ("a", pa.int64()), ("b", pa.int64())])
 
     def compare(ids: np.ndarray, block: np.ndarray, texts: list[str], across: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        grams, ptr = shingles(fold_texts(texts))
+        grams, ptr = shingles(fold_texts(texts), kind)
         n, m = np.diff(ptr), len(ids)
         owner = np.repeat(np.arange(m), n)
         order = np.argsort(grams, kind="stable")
@@ -364,7 +436,7 @@ def _blocks(rows, grams):
     return F.ceil(F.greatest(rows / BLOCK, grams / BLOCK_GRAMS)).cast("int")
 
 
-def _compared(docs: DataFrame, placed: DataFrame, threshold: float) -> DataFrame:
+def _compared(docs: DataFrame, placed: DataFrame, scheme: Scheme) -> DataFrame:
     """Links (id, links) and spanning edges (a, b) among rows of node, root, block, first, last, step, doc_id, h. A row
     meets its own block and those from first to last by step; its text is found again by doc_id and hash."""
     key = [F.col("doc_id"), F.xxhash64("text")]
@@ -374,11 +446,11 @@ def _compared(docs: DataFrame, placed: DataFrame, threshold: float) -> DataFrame
     texts = maybe.join(placed.hint("merge"), same).groupBy("node", "root", "block", "first", "last", "step").agg(F.any_value("text").alias("text"))  # repeated rows have one text
     texts = texts.select("root", "block", "text", F.col("node").alias("id"), F.explode(F.sequence("first", "last", "step")).alias("other"))
     texts = texts.select("root", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "id", "text")
-    compared = texts.repartition("root", "low", "high").sortWithinPartitions("root", "low", "high").mapInArrow(_exact(threshold), "id long, links long, a long, b long")
+    compared = texts.repartition("root", "low", "high").sortWithinPartitions("root", "low", "high").mapInArrow(_exact(scheme.threshold, scheme.kind), "id long, links long, a long, b long")
     return Table(compared, "links").read()
 
 
-def _edges_of_rest(docs: DataFrame, members: DataFrame, edges: DataFrame, threshold: float) -> DataFrame:
+def _edges_of_rest(docs: DataFrame, members: DataFrame, edges: DataFrame, scheme: Scheme) -> DataFrame:
     """What is left of the edges that span each group, once its blocks have been compared in themselves and with one of
     them: only pairs within the group's largest part need no look. The rest, often no row at all, meets the whole group."""
     members = members.filter("blocks > 1")
@@ -397,13 +469,14 @@ def _edges_of_rest(docs: DataFrame, members: DataFrame, edges: DataFrame, thresh
     block = F.when(is_rest, F.pmod(node, F.col("rest"))).otherwise(F.col("rest") + F.pmod(node, F.col("others"))).cast("int")
     last = F.when(is_rest, F.col("rest") + F.col("others") - 1).otherwise(F.col("rest") - 1)
     placed = members.join(counts, "root").select("node", "root", block.alias("block"), F.lit(0).alias("first"), last.alias("last"), F.lit(1).alias("step"), "doc_id", "h")
-    return edges.unionByName(_compared(docs, placed, threshold).filter("id is null").select("a", "b"))
+    return edges.unionByName(_compared(docs, placed, scheme).filter("id is null").select("a", "b"))
 
 
-def similar_classes(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL, count_links: bool = True) -> DataFrame:
-    """Per row of ``docs`` (doc_id of any type, text): rid, doc_id, h, class_id, n_links, n_copies, keep_rid.
+def similar_classes(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL, count_links: bool = True, scheme: Scheme | None = None) -> DataFrame:
+    """Per row of ``docs`` (doc_id of any type, text): rid, doc_id, h, n, class_id, n_links, n_copies, keep_rid.
 
-    ``rid``: a number given to the row here; ``h``: a hash of its text. ``class_id``: the smallest doc_id of the connected
+    ``rid``: a number given to the row here; ``h``: a hash of its text; ``n``: the size of its set. ``scheme``: other words,
+    sketches and roots than those of chosen paths, with its own threshold and recall. ``class_id``: the smallest doc_id of the connected
     component of links, equal sets included. ``n_links``: how many other distinct sets have a Jaccard similarity of at
     least ``threshold`` with the row's. ``n_copies``: rows whose set is equal, itself included. ``keep_rid``: the row of
     the component that stays, the one with the smallest doc_id. Texts without words have no set: each is a class of its
@@ -415,23 +488,24 @@ def similar_classes(docs: DataFrame, threshold: float = THRESHOLD, recall: float
     ``count_links`` n_links is null, and blocks are compared only as far as classes depend on it: in themselves, with one
     of them, and with the rows outside the largest part that this gives; classes are the same.
     """
+    scheme = scheme or chosen_paths(threshold, recall)
     narrow = docs.select(F.monotonically_increasing_id().alias("rid"), "doc_id", F.xxhash64("text").alias("h"), "text")
     schema = narrow.drop("text").schema.simpleString()[len("struct<") : -1]
-    sets = Table(narrow.mapInArrow(_embed, f"{schema}, {SETS}"), "sets").read()
+    sets = Table(narrow.mapInArrow(_embed(scheme), f"{schema}, {SETS}"), "sets").read()
     filled = sets.filter("n > 0")
     classes = Table(filled.groupBy("sig").agg(F.min("rid").alias("id"), F.count(F.lit(1)).alias("n_copies")), "classes").read()
     leaders = filled.join(classes.select(F.col("id").alias("rid")), "rid", "left_semi").withColumnRenamed("rid", "id")
-    leaders = Table(leaders.select("id", "doc_id", "h", "n", "coords", "sketch"), "leaders").read()
-    groups = Table(connected_components(candidate_edges(leaders, runs_for(recall, threshold))), "groups").read()
+    leaders = Table(leaders.select("id", "doc_id", "h", "n", "coords", "sketch", "roots"), "leaders").read()
+    groups = Table(connected_components(candidate_edges(leaders, scheme)), "groups").read()
     named = Table(groups.join(leaders.select(F.col("id").alias("node"), "doc_id", "h", "n"), "node"), "members").read()
     sizes = Table(named.groupBy("root").agg(_blocks(F.count(F.lit(1)), F.sum("n")).alias("blocks")), "sizes").read()
     named = named.join(sizes, "root").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     last, step = (F.col("blocks") - 1, F.lit(1)) if count_links else (F.col("block"), F.greatest("block", F.lit(1)))
     placed = named.select("node", "root", "block", F.lit(0).alias("first"), last.alias("last"), step.alias("step"), "doc_id", "h")
-    compared = _compared(docs, placed, threshold)
+    compared = _compared(docs, placed, scheme)
     edges = compared.filter("id is null").select("a", "b")
     if not count_links:
-        edges = _edges_of_rest(docs, named, edges, threshold)
+        edges = _edges_of_rest(docs, named, edges, scheme)
     parts = connected_components(edges).withColumnRenamed("node", "id")
     classes = classes.join(parts, "id", "left")
     n_links = F.lit(None).cast("long")
@@ -439,11 +513,11 @@ def similar_classes(docs: DataFrame, threshold: float = THRESHOLD, recall: float
         links = compared.filter("id is not null").groupBy("id").agg(F.sum("links").alias("n_links"))
         classes, n_links = classes.join(links, "id", "left"), F.coalesce("n_links", F.lit(0))
     classes = classes.select("sig", "n_copies", n_links.alias("n_links"), F.coalesce("root", "id").alias("root"))
-    known = Table(filled.select("rid", "doc_id", "h", "sig").join(classes, "sig").select("rid", "doc_id", "h", "n_copies", "n_links", "root"), "known").read()
+    known = Table(filled.select("rid", "doc_id", "h", "n", "sig").join(classes, "sig").select("rid", "doc_id", "h", "n", "n_copies", "n_links", "root"), "known").read()
     best = Table(known.groupBy("root").agg(F.min(F.struct("doc_id", "rid")).alias("first"), F.min("doc_id").alias("class_id")), "best").read()
-    linked = known.join(best, "root").select("rid", "doc_id", "h", "class_id", "n_links", "n_copies", F.col("first.rid").alias("keep_rid"))
+    linked = known.join(best, "root").select("rid", "doc_id", "h", "n", "class_id", "n_links", "n_copies", F.col("first.rid").alias("keep_rid"))
     none = F.lit(0 if count_links else None).cast("long")
-    alone = sets.filter("n = 0").select("rid", "doc_id", "h", F.col("doc_id").alias("class_id"), none.alias("n_links"), F.lit(1).cast("long").alias("n_copies"), F.col("rid").alias("keep_rid"))
+    alone = sets.filter("n = 0").select("rid", "doc_id", "h", "n", F.col("doc_id").alias("class_id"), none.alias("n_links"), F.lit(1).cast("long").alias("n_copies"), F.col("rid").alias("keep_rid"))
     return linked.unionByName(alone)
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chosen_path, decontam, filter_audit, html_tree, langid, packing, ppm, radix_dedup, sharding, toxicity, warc
+from . import bbit, chosen_path, decontam, filter_audit, html_tree, langid, packing, ppm, radix_dedup, sharding, spelling, toxicity, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -51,9 +51,17 @@ def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ppm.score_documents(_table(spark, sf_dir, "documents"))
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_variants(_table(spark, sf_dir, "documents"))
+
+
+def op12_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bbit.near_duplicates(_table(spark, sf_dir, "documents"))
+
+
 def op13_filter_interaction_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.audit(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_warc, op2_html_extraction, op3_exact_dedup, op4_language_id, op5_ngram_jaccard_join, op6_decontamination, op7_sharding, op8_toxicity, op9_best_fit_packing, op10_lm_scoring, op13_filter_interaction_audit)}
-ORACLES = {"op1_warc": warc.ORACLE, "op3_exact_dedup": radix_dedup.ORACLE, "op5_ngram_jaccard_join": chosen_path.ORACLE, "op6_decontamination": decontam.ORACLE, "op13_filter_interaction_audit": filter_audit.ORACLE}
+QUERIES = {f.__name__: f for f in (op1_warc, op2_html_extraction, op3_exact_dedup, op4_language_id, op5_ngram_jaccard_join, op6_decontamination, op7_sharding, op8_toxicity, op9_best_fit_packing, op10_lm_scoring, op11_spelling_variants, op12_minhash_near_dedup, op13_filter_interaction_audit)}
+ORACLES = {"op1_warc": warc.ORACLE, "op3_exact_dedup": radix_dedup.ORACLE, "op5_ngram_jaccard_join": chosen_path.ORACLE, "op6_decontamination": decontam.ORACLE, "op11_spelling_variants": spelling.ORACLE, "op12_minhash_near_dedup": bbit.ORACLE, "op13_filter_interaction_audit": filter_audit.ORACLE}
