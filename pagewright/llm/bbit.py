@@ -8,7 +8,7 @@ signatures agree, counted bit-parallel, is corrected for such collisions to tell
 Bands that few sets share are compared pair by pair on signatures; sets whose band is shared by very many (templates, mass
 copies) are tied to a pivot or split by further minima, as in ``chosen_path``. The pairs found span candidate groups, within
 which links are confirmed on the full sets, in blocks of bounded size. A link of just the threshold meets in no band with a
-chance of 4.1e-5 (6.2e-5 where each of its bands is a large one), and signatures lose it with 1.1e-5.
+chance of 4.6e-5 (7.2e-5 where each of its bands is a large one), and signatures lose it with 0.2e-5.
 """
 
 from __future__ import annotations

@@ -110,7 +110,8 @@ class _Forest:
         grown = last - first > 1
         nodes = np.stack([first[grown], last[grown], self.lo[first[grown]]], 1)
         u, v, banned = np.zeros((0, 3), np.int64), np.zeros((0, 3), np.int64), np.zeros(0, np.int64)
-        out, step = [], 0
+        none = np.zeros(0, np.int64)
+        out, step = [(none, none)], 0
         while len(nodes) or len(u):
             u, v, ended = self.extend(u, v, banned)
             out.append((u[ended, 0], v[ended, 0]))
