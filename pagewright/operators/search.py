@@ -9,6 +9,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import DataType, DoubleType, StructField, StructType
 
 from pagewright.functions import scalars
 
@@ -82,53 +84,93 @@ def ranked(scored: DataFrame, key: str, limit: int) -> DataFrame:
     return top.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), F.col(key))))
 
 
-def vector_topk_multi(vectors: DataFrame, queries: DataFrame, key: str, limit: int, block: int = QUERY_BLOCK) -> DataFrame:
-    """(query_id, key, score, rank) for many queries (query_id, query_vector) against all vectors.
-
-    Queries go out in blocks of a bounded size. Each task multiplies its vectors with the block and keeps its own best
-    ``limit`` of each query, so that tasks x queries x limit rows are exchanged.
-    """
-    spark = vectors.sparkSession
-    schema = pa.schema([("query_id", pa.int64()), (key, pa.int64()), ("score", pa.float64())])
-
-    def best(held):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            ids, q = held.value
-            q = q / np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-30)
-            top_s, top_k = np.full((len(ids), 0), 0.0), np.full((len(ids), 0), 0)
-            for batch in batches:
-                for at in range(0, batch.num_rows, 2048):
-                    part = batch.slice(at, 2048)
-                    v = part.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(part.num_rows, -1)
-                    s = np.round(q @ (v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-30)).T, 6)
-                    top_s = np.hstack([top_s, s])
-                    top_k = np.hstack([top_k, np.broadcast_to(part.column(0).to_numpy(), s.shape)])
-                    order = np.lexsort((top_k, -top_s), axis=1)[:, :limit]
-                    top_s, top_k = np.take_along_axis(top_s, order, 1), np.take_along_axis(top_k, order, 1)
-            if top_s.size:
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, top_s.shape[1])), pa.array(top_k.ravel()), pa.array(top_s.ravel())], schema=schema)
-
-        return run
-
-    parts, rows = [], []
-    source = vectors.select(F.col(key).cast("long").alias(key), "vector").filter(F.col(key).isNotNull() & F.col("vector").isNotNull())
+def _sortable(column: pa.Array) -> np.ndarray:
+    """Keys as an array that numpy sorts in Spark's order."""
+    values = column.to_numpy(zero_copy_only=False)
+    return values.astype("U") if pa.types.is_string(column.type) or pa.types.is_large_string(column.type) else values
+
+
+def block_best(held, limit: int, schema: pa.Schema):
+    """A function of batches (key, vector, and cell where queries name cells) that keeps a task's best ``limit`` keys for
+    each query of a broadcast block: ids, vectors, and None or for each query the cells it looks into."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, q, cells = held.value
+        q = q / np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-30)
+        best: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+        def take(asked: np.ndarray, keys: np.ndarray, vectors: np.ndarray) -> None:
+            scores = np.round(q[asked] @ (vectors / np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-30)).T, 6)
+            if len(keys) > limit:  # all that may be among the best, ties with the last included
+                least = np.partition(scores, len(keys) - limit, axis=1)[:, len(keys) - limit]
+            else:
+                least = np.full(len(asked), -np.inf)
+            for row, at in enumerate(asked.tolist()):
+                near = np.flatnonzero(scores[row] >= least[row])
+                s, k = scores[row][near], keys[near]
+                if at in best:
+                    s, k = np.concatenate([best[at][0], s]), np.concatenate([best[at][1], k])
+                order = np.lexsort((k, -s))[:limit]
+                best[at] = s[order], k[order]
+
+        everyone = np.arange(len(ids))
+        for batch in batches:
+            for at in range(0, batch.num_rows, 2048):
+                part = batch.slice(at, 2048)
+                vectors = part.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(part.num_rows, -1)
+                keys = _sortable(part.column(0))
+                if cells is None:
+                    take(everyone, keys, vectors)
+                    continue
+                own = part.column(2).to_numpy()
+                for cell in np.unique(own).tolist():
+                    if len(asked := np.flatnonzero((cells == cell).any(axis=1))):
+                        take(asked, keys[own == cell], vectors[own == cell])
+        for at, (s, k) in best.items():
+            yield pa.RecordBatch.from_arrays([pa.array([ids[at]] * len(s), schema.field(0).type), pa.array(k.tolist(), schema.field(1).type), pa.array(s)], schema=schema)
+
+    return run
+
+
+def best_of_queries(queries: DataFrame, key: str, key_type: DataType, limit: int, found: Callable, block: int = QUERY_BLOCK) -> DataFrame:
+    """(query_id, key, score, rank) for queries (query_id of any type, query_vector), taken in blocks of a bounded size:
+    ``found(rows, score)`` gives what a block's rows (id, vector) find, where ``score(cells)`` makes the function for
+    ``mapInArrow`` and its schema."""
+    spark = queries.sparkSession
+    queries = queries.select("query_id", "query_vector").filter("query_id is not null and query_vector is not null")
+    fields = StructType([StructField("query_id", queries.schema[0].dataType), StructField(key, key_type), StructField("score", DoubleType())])
+    schema, parts, rows = to_arrow_schema(fields), [], []
 
     def send() -> None:
-        held = spark.sparkContext.broadcast((np.array([r[0] for r in rows], np.int64), np.array([r[1] for r in rows], np.float64)))
-        parts.append(source.mapInArrow(best(held), f"query_id long, {key} long, score double"))
+        ids, vectors = [r[0] for r in rows], np.array([r[1] for r in rows], np.float64)
+        score = lambda cells=None: (block_best(spark.sparkContext.broadcast((ids, vectors, cells)), limit, schema), fields)
+        parts.append(found(vectors, score))
 
-    for r in queries.select(F.col("query_id").cast("long"), "query_vector").filter("query_id is not null and query_vector is not null").toLocalIterator():
-        rows.append((r[0], r[1]))
+    for r in queries.toLocalIterator():
+        rows.append(r)
         if len(rows) == block:
             send()
             rows = []
-    if rows or not parts:
+    if rows:
         send()
-    found = parts[0]
+    if not parts:
+        return spark.createDataFrame([], fields).withColumn("rank", F.lit(0))
+    every = parts[0]
     for p in parts[1:]:
-        found = found.unionByName(p)
+        every = every.unionByName(p)
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), F.col(key))
-    return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= limit)
+    return every.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= limit)
+
+
+def vector_topk_multi(vectors: DataFrame, queries: DataFrame, key: str, limit: int, block: int = QUERY_BLOCK) -> DataFrame:
+    """(query_id, key, score, rank) for many queries (query_id, query_vector) against all vectors; keys are whole numbers
+    or strings.
+
+    Queries go out in blocks of a bounded size. Each task multiplies its vectors with the block and keeps its own best
+    ``limit`` of each query, so that tasks x queries x limit rows are exchanged.
+    """
+    source = vectors.select(key, "vector").filter(F.col(key).isNotNull() & F.col("vector").isNotNull())
+    return best_of_queries(queries, key, vectors.schema[key].dataType, limit, lambda _, score: source.mapInArrow(*score()), block)
 
 
 def postings(rows: DataFrame, key: str, text: Column) -> DataFrame:
@@ -167,9 +209,13 @@ def rrf_fuse(lists: list[DataFrame], key: str, k: int = RRF_K, limit: int = LIMI
     for i, ranked_list in enumerate(lists):
         part = ranked_list.select(key, F.lit(i).alias("list_no"), "rank")
         both = part if both is None else both.unionByName(part)
-    fused = both.groupBy(key).agg(F.round(F.sum(1.0 / (k + F.col("rank"))), 6).alias("score"), F.min(F.struct("list_no", "rank")).alias("first"))
-    order = (F.desc("score"), F.col("first.list_no"), F.col("first.rank"))
-    return fused.orderBy(*order).limit(limit).withColumn("rank", F.row_number().over(Window.orderBy(*order))).select(key, "score", "rank")
+    # summed list by list, so that equal ranks give equal sums at every partitioning; only what is shown is rounded
+    places = F.array_sort(F.collect_list(F.struct("list_no", "rank")))
+    exact = F.aggregate(places, F.lit(0.0), lambda total, p: total + 1.0 / (k + p["rank"]))
+    fused = both.groupBy(key).agg(exact.alias("exact"), F.min(F.struct("list_no", "rank")).alias("first"))
+    order = (F.desc("exact"), F.col("first.list_no"), F.col("first.rank"))
+    top = fused.orderBy(*order).limit(limit).withColumn("rank", F.row_number().over(Window.orderBy(*order)))
+    return top.select(key, F.round("exact", 6).alias("score"), "rank")
 
 
 def fetch_size(limit: int, rerank_top_k: int | None) -> int:
