@@ -132,9 +132,13 @@ def test_links_survive_splits_below_the_root():
     for run in range(chosen_path.runs_for(chosen_path.RECALL, 0.8)):
         rows = left[a[left, run] == b[left, run]]
         paths = rng.integers(1 << 62, size=len(rows))
-        for _ in range(6):
-            both = [(p, chosen_path._step(paths, b[rows], c) == p) for c in range(chosen_path.CHILDREN) for p in [chosen_path._step(paths, a[rows], c)]]
-            rows, paths = np.concatenate([rows[same] for _, same in both]), np.concatenate([p[same] for p, same in both])
+        for depth in range(chosen_path.DEPTH):
+            both = []
+            for c in range(chosen_path.FIRST if not depth else 2):
+                has = np.ones(len(rows), bool) if not depth or not c else chosen_path._seconds(paths)
+                p = chosen_path._step(paths[has], a[rows[has]], c)
+                both.append((rows[has], p, chosen_path._step(paths[has], b[rows[has]], c) == p))
+            rows, paths = np.concatenate([r[same] for r, _, same in both]), np.concatenate([p[same] for _, p, same in both])
         left = np.setdiff1d(left, rows)
     assert len(left) <= 15  # 10 at the promised recall
 
