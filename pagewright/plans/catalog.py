@@ -357,3 +357,27 @@ UNION ALL SELECT 99, 'done', '{{}}'""",
 }
 #: With all cells probed the stored index gives what a full scan gives.
 ORACLES["vector_index_topk"] = ORACLES["vector_topk_multi"]
+_SPACES = r"E' \n\t\r'"
+_TOKENS = "length(regexp_replace({0}, '{1}', '', 'g')) + CAST(ceil((length({0}) - length(regexp_replace({0}, '{1}', '', 'g'))) / 4.0) AS BIGINT)"
+#: Where a window may be cut: after the last of each break that begins in its second half, else where the window ends.
+_CUT = "greatest(" + ", ".join(f"CASE WHEN instr(reverse(w), '{b[::-1]}') > 0 AND length(w) - instr(reverse(w), '{b[::-1]}') - {len(b) - 1} >= length(w) // 2 THEN length(w) - instr(reverse(w), '{b[::-1]}') + 1 ELSE 0 END" for b in chunking.BREAKS) + ")"
+#: The driver's texts are one paragraph each; units over the budget hold no CJK character, so a window is 4 * 512 long.
+ORACLES["pack_chunks"] = rf"""WITH RECURSIVE d AS (SELECT doc_id, rtrim(regexp_replace(coalesce(text, ''), '^([ \t\r]*\n)+', ''), {_SPACES}) AS src FROM documents WHERE trim(coalesce(text, ''), {_SPACES}) <> ''),
+t AS (SELECT doc_id, src, {_TOKENS.format("src", _NON_CJK)} AS n FROM d),
+p AS (SELECT doc_id, unnest(regexp_split_to_array(src, '\n\s*\n')) AS para, generate_subscripts(regexp_split_to_array(src, '\n\s*\n'), 1) AS pno FROM t WHERE n > 512),
+l AS (SELECT doc_id, pno, string_split(regexp_replace(regexp_replace(trim(para, {_SPACES}), '([。．])', E'\\1\x01', 'g'), '([.!?])(\s)', E'\\1\x01\\2', 'g'), E'\x01') AS l FROM p),
+e AS (SELECT doc_id, pno, unnest(l) AS unit, generate_subscripts(l, 1) AS i FROM l),
+u AS MATERIALIZED (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY pno, i) AS pos, unit, {_TOKENS.format("unit", _NON_CJK)} AS n FROM e WHERE trim(unit, {_SPACES}) <> ''),
+fold(doc_id, pos, grp, held) AS (SELECT doc_id, pos, 1, CASE WHEN n > 512 THEN 513 ELSE n END FROM u WHERE pos = 1
+  UNION ALL SELECT u.doc_id, u.pos, grp + (held + u.n > 512)::INT, CASE WHEN u.n > 512 THEN 513 WHEN held + u.n > 512 THEN u.n ELSE held + u.n END FROM fold f JOIN u ON u.doc_id = f.doc_id AND u.pos = f.pos + 1),
+win(doc_id, grp, unit, w, start, turn) AS (SELECT doc_id, grp, unit, substr(unit, 1, 2048), 0, 1 FROM fold JOIN u USING (doc_id, pos) WHERE n > 512
+  UNION ALL SELECT doc_id, grp, unit, substr(unit, next + 1, 2048), next, turn + 1
+  FROM (SELECT *, greatest(start + CASE WHEN {_CUT} > 0 THEN {_CUT} ELSE length(w) END - 256, start + 1) AS next FROM win WHERE start + length(w) < length(unit))),
+cut AS (SELECT doc_id, grp, turn, CASE WHEN start + length(w) < length(unit) AND {_CUT} > 0 THEN left(w, {_CUT}) ELSE w END AS text FROM win),
+made AS (SELECT doc_id, 0 AS grp, 1 AS turn, trim(src, {_SPACES}) AS text FROM t WHERE n <= 512
+  UNION ALL SELECT doc_id, grp, 1, trim(string_agg(unit, '' ORDER BY pos), {_SPACES}) FROM fold JOIN u USING (doc_id, pos) WHERE n <= 512 GROUP BY 1, 2
+  UNION ALL SELECT * FROM cut WHERE trim(text, {_SPACES}) <> ''),
+c AS (SELECT doc_id, text, row_number() OVER (PARTITION BY doc_id ORDER BY grp, turn)::INTEGER AS chunk_index FROM made),
+i AS (SELECT *, doc_id || ':' || printf('%06d', chunk_index) AS chunk_id FROM c), h AS (SELECT *, {_UUID_HEX} AS h FROM i)
+SELECT CAST(doc_id AS VARCHAR) AS document_id, '' AS title, chunk_index, NULL::VARCHAR AS section, NULL::INTEGER AS page, chunk_id, ({_TOKENS.format("text", _NON_CJK)})::INTEGER AS token_count, sha256(text) AS checksum,
+substr(h,1,8) || '-' || substr(h,9,4) || '-5' || substr(h,14,3) || '-' || lower(printf('%02x', (('0x' || substr(h,17,2))::INT & 63) | 128)) || substr(h,19,2) || '-' || substr(h,21,12) AS vector_point_id, chunk_id AS keyword_document_id FROM h"""
