@@ -33,9 +33,10 @@ def merge_rerank_result(hits: DataFrame, result: DataFrame, limit: int) -> DataF
     return top.withColumns({"score": F.coalesce("r.relevance_score", "score"), "source": F.lit("reranked"), "rank": F.col("new_rank")}).drop("r", "index", "new_rank")
 
 
-def rerank_prompt(instruction: str, query: str, text):
-    """The text that a cross-encoder reads for a pair."""
-    return F.concat(F.lit(f"{RERANK_PREFIX}<Instruct>: {instruction}\n<Query>: {query}\n<Document>: "), text, F.lit(RERANK_SUFFIX))
+def rerank_prompt(instruction: str, query, text):
+    """The text that a cross-encoder reads for a pair; the query is a string or a column."""
+    query = F.lit(query) if isinstance(query, str) else query
+    return F.concat(F.lit(f"{RERANK_PREFIX}<Instruct>: {instruction}\n<Query>: "), query, F.lit("\n<Document>: "), text, F.lit(RERANK_SUFFIX))
 
 
 def simple_answer(hits: DataFrame, query: str) -> DataFrame:

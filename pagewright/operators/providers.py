@@ -8,18 +8,23 @@ fused hits of one query.
 from __future__ import annotations
 
 import json
+import sys
+import types
 import urllib.request
+import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType
 
 from pagewright.operators import answers, search
 
 EMBED_BATCH, RERANK_BATCH = 64, 8
+#: Tokens of a pair that a cross-encoder reads at most.
+MAX_LENGTH = 512
 EMBED_TIMEOUT, RERANK_TIMEOUT = 30.0, 30.0
 INSTRUCTION = "Rank the document based on its relevance to the query."  # fixed value
 
@@ -51,6 +56,15 @@ def normalised(vectors) -> np.ndarray:
     return v / np.where(norm == 0, 1, norm)
 
 
+def held(name: str, load: Callable):
+    """What ``load`` gives, loaded once in each Python worker however many tasks and plans ask for it: functions travel by
+    value and take no globals along, so the store is a module of the worker's own."""
+    store = sys.modules.setdefault("pagewright_models", types.ModuleType("pagewright_models"))
+    if name not in vars(store):
+        setattr(store, name, load())
+    return getattr(store, name)
+
+
 class HashEmbedding:
     """Token counts by hash bucket; no model and no Python on executors."""
 
@@ -82,13 +96,20 @@ class _BatchEmbedding:
 
 
 class LocalEmbedding(_BatchEmbedding):
-    """``load`` gives a function from texts to vectors, and is called on the executor."""
+    """``load`` gives a function from texts to vectors, and is called once in each Python worker. Without ``dimensions``
+    they are asked of the model, by one text, when they are first needed."""
+
+    def __init__(self, load: Callable[[], Callable[[list[str]], object]], dimensions: int | None = None):
+        self.load, self._dimensions, self.name = load, dimensions, uuid.uuid4().hex
 
-    def __init__(self, load: Callable[[], Callable[[list[str]], object]], dimensions: int):
-        self.load, self.dimensions = load, dimensions
+    @property
+    def dimensions(self) -> int:
+        if self._dimensions is None:
+            self._dimensions = len(np.asarray(self.embedder()([""]))[0])
+        return self._dimensions
 
     def embedder(self):
-        return self.load()
+        return held(self.name, self.load)
 
 
 class ServiceEmbedding(_BatchEmbedding):
@@ -108,26 +129,50 @@ class ServiceEmbedding(_BatchEmbedding):
 
 
 class CrossEncoder:
-    """``score`` takes prompts, RERANK_BATCH at a time, and gives a (no, yes) pair of logits for each."""
+    """A model that gives a (no, yes) pair of logits for each prompt, RERANK_BATCH prompts at a time.
 
-    def __init__(self, score: Callable[[list[str]], object], instruction: str = INSTRUCTION):
-        self.score, self.instruction = score, instruction
+    ``score`` takes prompts and travels with the plan; a large model comes by ``load`` instead, which is called once in
+    each Python worker and gives a function of (prompts, max_length), whose tokenizer cuts at that many tokens.
+    """
 
-    def rerank(self, hits: DataFrame, query: str, limit: int) -> DataFrame:
-        """Hits by the probability of yes, descending and stable, with source 'reranked'."""
-        asked = hits.select("rank", answers.rerank_prompt(self.instruction, query, F.col("text")).alias("prompt"))
+    def __init__(self, score: Callable[[list[str]], object] | None = None, instruction: str = INSTRUCTION, load: Callable | None = None, max_length: int = MAX_LENGTH):
+        if (score is None) == (load is None):
+            raise ValueError("one of score and load is needed")
+        self.score, self.instruction, self.load, self.max_length, self.name = score, instruction, load, max_length, uuid.uuid4().hex
+
+    def _logits(self, prompts: list[str]) -> np.ndarray:
+        found = self.score(prompts) if self.load is None else held(self.name, self.load)(prompts, self.max_length)
+        return np.asarray(found, np.float64).reshape(-1, 2)
+
+    def _scored(self, asked: DataFrame) -> DataFrame:
+        """Rows that end in a prompt -> their other columns and the probability of yes."""
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 for at in range(0, batch.num_rows, RERANK_BATCH):
                     part = batch.slice(at, RERANK_BATCH)
-                    logit = np.asarray(self.score(part.column(1).to_pylist()), np.float64).reshape(-1, 2)
-                    yield pa.RecordBatch.from_arrays([part.column(0), pa.array(1 / (1 + np.exp(logit[:, 0] - logit[:, 1])))], names=["rank", "yes"])
+                    logit = self._logits(part.column(part.num_columns - 1).to_pylist())
+                    yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(1 / (1 + np.exp(logit[:, 0] - logit[:, 1])))], names=[*part.schema.names[:-1], "yes"])
+
+        return asked.mapInArrow(run, asked.drop("prompt").schema.add("yes", "double"))
 
-        scored = asked.mapInArrow(run, asked.select("rank").schema.add("yes", "double"))
-        joined = hits.join(F.broadcast(scored), "rank")
+    def rerank(self, hits: DataFrame, query: str, limit: int) -> DataFrame:
+        """Hits by the probability of yes, descending and stable, with source 'reranked'."""
+        asked = hits.select("rank", answers.rerank_prompt(self.instruction, F.lit(query), F.col("text")).alias("prompt"))
+        joined = hits.join(F.broadcast(self._scored(asked)), "rank")
         return answers.rerank(joined, lambda q, text: F.col("yes"), query, limit).drop("yes")
 
+    def rerank_many(self, hits: DataFrame, limit: int) -> DataFrame:
+        """The hits of many queries (query_id, query, rank, text and others), reranked in one plan: query by query as
+        ``rerank`` would. Pairs are dealt to all tasks, not by query, and sorted by length there, so that a batch pads
+        little and no query's many or long hits hold up one task. ``rank`` tells a query's hits apart."""
+        prompt = answers.rerank_prompt(self.instruction, F.col("query"), F.col("text"))
+        asked = hits.select("query_id", "rank", prompt.alias("prompt")).repartition("query_id", "rank")
+        scored = self._scored(asked.sortWithinPartitions(F.length("prompt"), "query_id", "rank"))
+        order = Window.partitionBy("query_id").orderBy(F.desc("yes"), F.col("rank"))
+        top = hits.join(scored, ["query_id", "rank"]).withColumn("_turn", F.row_number().over(order)).filter(F.col("_turn") <= limit)
+        return top.withColumns({"score": F.col("yes"), "rank": F.col("_turn"), "source": F.lit("reranked")}).drop("yes", "_turn")
+
 
 class ServiceReranker:
     """A service with a ``/reranks`` interface, asked once for each query with its few hits."""

@@ -61,9 +61,9 @@ def make_embedding(settings: Settings, load: Callable | None = None, transport:
     return providers.LocalEmbedding(load, settings.embedding_dimensions) if load else providers.HashEmbedding()
 
 
-def make_reranker(settings: Settings, score: Callable | None = None, transport: Callable = providers.post_json):
+def make_reranker(settings: Settings, score: Callable | None = None, transport: Callable = providers.post_json, load: Callable | None = None):
     """None where reranking is off or a service lacks its address, key (the embedding's serves too) or model; else the
-    service or the cross-encoder around ``score``."""
+    service or the cross-encoder around ``score`` or what ``load`` gives."""
     if not settings.reranker_enabled:
         return None
     if settings.reranker_provider == "api":
@@ -71,7 +71,7 @@ def make_reranker(settings: Settings, score: Callable | None = None, transport:
         if not (settings.reranker_api_base_url and key and settings.reranker_model):
             return None
         return providers.ServiceReranker(settings.reranker_api_base_url, key, settings.reranker_model, transport=transport)
-    return providers.CrossEncoder(score) if score else None
+    return providers.CrossEncoder(score, load=load) if score or load else None
 
 
 def make_answers(settings: Settings, transport: Callable = providers.post_json, lines: Callable = providers.post_lines):

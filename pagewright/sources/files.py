@@ -25,8 +25,8 @@ def basename(filename: Column) -> Column:
 
 def classify(filename: Column, mime: Column) -> Column:
     """'direct' for text by suffix or type, else 'pdf' by either, else null: the file is not supported."""
-    suffix = F.lower(F.regexp_extract(basename(filename), r"(\.[^.]+)$", 1))
-    mime = F.lower(F.coalesce(mime, F.lit("")))
+    suffix = F.lower(F.regexp_extract(basename(filename), r"(?<=.)(\.[^.]+)$", 1))  # a name that only begins with a dot has none
+    mime = F.coalesce(mime, F.lit(""))
     return F.when(suffix.isin(*TEXT_SUFFIXES) | mime.isin(*TEXT_TYPES), "direct").when(suffix.isin(*PDF_SUFFIXES) | mime.isin(*PDF_TYPES), "pdf")
 
 
