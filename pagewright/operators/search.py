@@ -310,16 +310,17 @@ def stored_bm25(spark: SparkSession, path: str, key: str, query: str, limit: int
     """``bm25_topk`` over stored postings: (key, score, rank)."""
     terms = [x[0] for x in spark.range(1).select(F.explode(keyword_tokens(F.lit(query)))).distinct().collect()]
     lengths = spark.read.parquet(f"{path}/lengths").agg(F.sum("n").alias("n"), (F.sum("words") / F.sum("n")).alias("avgdl"))
-    return _score(read_postings(spark, path, terms or [""]), lengths, key, limit)
+    return score_with(read_postings(spark, path, terms or [""]), lengths, key, limit)
 
 
 def score_postings(found: DataFrame, every: DataFrame, key: str, limit: int) -> DataFrame:
     """(key, score, rank) from the postings of the query's terms and all postings (key, term, tf, dl), for the lengths."""
     lengths = every.groupBy(key).agg(F.max("dl").alias("dl")).agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))
-    return _score(found, lengths, key, limit)
+    return score_with(found, lengths, key, limit)
 
 
-def _score(found: DataFrame, lengths: DataFrame, key: str, limit: int) -> DataFrame:
+def score_with(found: DataFrame, lengths: DataFrame, key: str, limit: int) -> DataFrame:
+    """(key, score, rank) from the postings of the query's terms and one row of n texts and their mean length avgdl."""
     df = found.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))

@@ -33,6 +33,13 @@ def index_batch(chunks: DataFrame, embedding) -> dict[str, DataFrame]:
     }
 
 
+def document_lengths(chunks: DataFrame) -> DataFrame:
+    """(document_id, n, words): a document's chunks that have terms and the terms in them. Sums over the documents that
+    count at a time are the corpus statistics of that time, whatever was replaced or deleted."""
+    size = F.size(search.keyword_tokens(F.col("text"))).cast("long")
+    return chunks.select("document_id", size.alias("dl")).filter("dl > 0").groupBy("document_id").agg(F.count(F.lit(1)).alias("n"), F.sum("dl").alias("words"))
+
+
 def job_rows(documents: DataFrame, failures: DataFrame, batch: str, at: int) -> tuple[DataFrame, DataFrame]:
     """Document rows and job rows of a batch: (document_id, title, file_path) and the failures' (document_id, error)."""
     first = failures.groupBy("document_id").agg(F.min("error").alias("error"))
@@ -67,6 +74,7 @@ def ingest_batch(files: DataFrame, name: str, target: str, pages: DataFrame | No
     for table, rows in index_batch(sound, embedding).items():
         stored(table, rows)
     stored("postings", search.postings(sound.select("document_id", "chunk_id", "text"), "chunk_id", F.col("text")).join(sound.select("chunk_id", "document_id"), "chunk_id"))
+    stored("lengths", document_lengths(sound))
     made, jobs = job_rows(documents.select("document_id", "title").join(saved.select("document_id", "file_path"), "document_id", "left"), failures, name, time.time_ns())
     stored("jobs", jobs)
     stored("documents", made)
@@ -137,8 +145,9 @@ def retriever(spark: SparkSession, target: str, embedding=None, reranker=None, r
 
     def keywords(query: str, limit: int) -> DataFrame:
         rows = live(spark, target, "postings")
+        lengths = live(spark, target, "lengths").agg(F.sum("n").alias("n"), (F.sum("words") / F.sum("n")).alias("avgdl"))
         terms = [x[0] for x in spark.range(1).select(F.explode(search.keyword_tokens(F.lit(query)))).distinct().collect()]
-        top = search.score_postings(rows.filter(F.col("term").isin(terms)), rows, "chunk_id", limit)
+        top = search.score_with(rows.filter(F.col("term").isin(terms)), lengths, "chunk_id", limit)
         documents = live(spark, target, "keywords")
         return search.keyword_hits(documents.select("_id", "document").join(F.broadcast(top), F.col("_id") == F.col("chunk_id")))
 
