@@ -10,6 +10,7 @@ layouts of many kinds, so the trainer depends on no table.
 
 from __future__ import annotations
 
+import functools
 import html as entities
 import re
 from collections import Counter
@@ -22,9 +23,11 @@ from pyspark.sql import functions as F
 
 NAME = re.compile(r"(/?)([a-zA-Z][^\s/>]*)")
 TAG_STOP = re.compile(r"[>\"']")
+#: What closes a comment just behind its opening.
+EMPTY_COMMENT = re.compile("-?>")
 ATTRIBUTE = re.compile(r"([^\s=/>]+)\s*(?:=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?")
 #: Elements whose content is never text of the page, read to their end tag as they stand.
-RAW = {"script", "style", "noscript", "template", "iframe", "noembed", "noframes"}
+RAW = {"script", "style", "template", "iframe", "noembed", "noframes"}
 #: Form parts and head elements: parsed, but without text.
 MUTE = {"textarea", "select", "button", "option", "datalist", "optgroup", "title", "canvas", "audio", "video", "label", "legend", "annotation", "annotation-xml"}
 INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "ins", "kbd", "mark", "q", "rp", "rt", "ruby", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr", "img", "input"}
@@ -38,11 +41,11 @@ CLOSES_P = {"address", "article", "aside", "blockquote", "center", "details", "d
 SIBLINGS = {"li": ({"li"}, {"ul", "ol", "menu", "dir"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "tbody": ({"tbody", "thead", "tfoot", "tr", "td", "th"}, {"table"})}
 GOOD_WORDS = ("article", "content", "post", "entry", "main", "story", "body", "text")
 BAD_GROUPS = (("nav", "menu", "breadcrumb", "pagination"), ("header", "masthead", "banner", "top"), ("footer", "copyright", "bottom", "legal"), ("side", "sidebar", "aside", "widget", "rail"), ("ad", "ads", "advert", "sponsor", "promo", "advertisement"), ("comment", "comments", "reply", "respond", "discussion", "disqus"), ("cookie", "notice", "consent", "popup", "modal", "newsletter", "subscribe", "alert", "gdpr"), ("related", "share", "social", "tags", "recommended", "meta"), ("form", "login", "search", "signup"))
-TAGS = ("#root", "html", "body", "div", "p", "section", "article", "main", "nav", "header", "footer", "aside", "form", "ul", "ol", "li", "h1", "h2", "h3", "table", "tr", "td", "blockquote", "pre", "figure", "figcaption", "dl", "dd", "details", "head")
+TAGS = ("#root", "html", "body", "div", "p", "section", "article", "main", "nav", "header", "footer", "aside", "form", "ul", "ol", "li", "h1", "h2", "h3", "table", "tr", "td", "blockquote", "pre", "figure", "figcaption", "dl", "dd", "details", "head", "dt", "summary", "noscript")
 TAG_NUMBER = {t: i for i, t in enumerate(TAGS)}
-#: Tags that say what their whole subtree is.
-STRONG = {"nav", "header", "footer", "aside", "form", "article", "main"}
-N_FEATURES = len(TAGS) + 1 + 1 + len(BAD_GROUPS) + 10
+#: Tags of main parts and of parts beside them; what lies in one is marked, as are their words in a class or id.
+MAIN_TAGS, SIDE_TAGS = {"article", "main"}, {"nav", "aside", "footer", "form"}
+N_FEATURES = len(TAGS) + 1 + 1 + len(BAD_GROUPS) + 14
 ROOT = 0
 TRAIN_PAGES, TRAIN_STEPS = 400, 200
 
@@ -71,8 +74,10 @@ class Scanner:
             end = end if end >= 0 else len(source)
             return end, source[at:end], "", ""
         if source.startswith("<!--", at):
-            end = self.find("-->", at + 4)
-            return (end + 3 if end >= 0 else len(source)), "", "", ""
+            if empty := EMPTY_COMMENT.match(source, at + 4):
+                return empty.end(), "", "", ""
+            ends = [found + len(mark) for mark in ("-->", "--!>") if (found := self.find(mark, at + 4)) >= 0]
+            return min(ends, default=len(source)), "", "", ""
         if source[at + 1 : at + 2] in ("!", "?"):
             end = self.find(">", at)
             return (end + 1, "", "", "") if end >= 0 else (at + 1, "<", "", "")
@@ -235,6 +240,15 @@ class Page:
         x[:, base + 7] = own > 100
         x[:, base + 8] = own == 0
         x[:, base + 9] = total / max(1.0, total[0])
+        inside, beside = np.zeros(n, bool), np.zeros(n, bool)
+        for i in range(1, n):
+            above, words = self.parent[i], self.words[i]
+            inside[i] = inside[above] or self.tag[i] in MAIN_TAGS or any(w in words for w in GOOD_WORDS)
+            beside[i] = beside[above] or self.tag[i] in SIDE_TAGS or any(w in words for group in BAD_GROUPS for w in group)
+        x[:, base + 10] = inside & ~beside
+        x[:, base + 11] = beside
+        x[:, base + 12] = ~inside & inside.any()
+        x[:, base + 13] = np.isin(self.tag, list(MAIN_TAGS)) & ~beside
         return x
 
 
@@ -285,6 +299,7 @@ def potentials(x: np.ndarray, w: dict[str, np.ndarray]) -> tuple[np.ndarray, np.
 def fit(pages: list[Page], labels: list[np.ndarray], steps: int = TRAIN_STEPS, ridge: float = 0.00005) -> dict[str, np.ndarray]:
     """Weights of the highest penalised likelihood, by Adam on exact gradients."""
     forest, y = Forest(pages), np.concatenate(labels).astype(np.int64)
+    forest.x = forest.x.astype(np.float64)
     f, n = forest.x.shape[1], len(y)
     w = {"node": np.zeros(f), "edge": np.zeros((f, 4))}
     m = {k: np.zeros_like(v) for k, v in w.items()}
@@ -305,7 +320,7 @@ def fit(pages: list[Page], labels: list[np.ndarray], steps: int = TRAIN_STEPS, r
 def labelled_page(rng: np.random.Generator) -> str:
     """One generated page; elements carry data-label 1 where they and what they hold is main content, 0 where not."""
     syllables = ["ba", "ne", "tor", "li", "su", "ran", "mek", "o", "vi", "dal", "pre", "chu", "gon", "ti", "ex"]
-    word = lambda: "".join(rng.choice(syllables, rng.integers(1, 5)))
+    word = lambda: "".join(syllables[int(rng.random() * len(syllables))] for _ in range(1 + int(rng.random() * 4)))
     phrase = lambda a, b: " ".join(word() for _ in range(rng.integers(a, b)))
     pick = lambda *xs: xs[rng.integers(len(xs))]
 
@@ -350,8 +365,37 @@ def labelled_page(rng: np.random.Generator) -> str:
         one = lambda: f"<{(t := pick('div', 'li', 'div', 'p'))}{pick('', ' class=comment')}>{pick('', f'<b>{word()}</b> ', f'<h4>{word()}</h4>')}{pick(prose(), '<p>' + prose() + '</p>')}</{t}>"
         return off(pick("section", "div", "ol"), pick("class", "id") + f'="{pick("comments", "comment-list", "comments-area", "respond", "discussion")}"', pick("", f"<h3>{phrase(1, 3)}</h3>") + "".join(one() for _ in range(rng.integers(1, 6))))
 
+    def own_footer() -> str:
+        return off("footer", pick("", "", named("meta", "tags", "share")), pick(phrase(2, 12), f"<p>{phrase(2, 14)}.</p>", "<ul>" + links(3) + "</ul>"))
+
+    def listing() -> str:
+        """A part of an article that is no prose: glossary, listing, figure, details, list of links, table of figures."""
+        kind = rng.integers(7)
+        if kind == 0:
+            return "<dl>" + "".join(f"<dt>{phrase(1, 4)}{pick('', '</dt>')}<dd>{pick(prose(), phrase(2, 9))}{pick('', '</dd>')}" for _ in range(rng.integers(1, 9))) + "</dl>"
+        if kind == 1:
+            return f"<pre>{pick('', '<code>')}" + "\n".join(f"{word()} = {word()}({rng.integers(100)})" for _ in range(rng.integers(1, 12))) + "</pre>"
+        if kind == 2:
+            return f"<figure><img src=x>{pick('', '<p>' + prose() + '</p>')}<figcaption>{pick(phrase(2, 12), prose())}</figcaption></figure>"
+        if kind == 3:
+            return f"<details{pick('', ' open')}><summary>{phrase(1, 6)}</summary>{pick(prose(), '<p>' + prose() + '</p>')}</details>"
+        if kind < 6:
+            before, behind, inner = pick(0, 0, 1), pick(0, 0, 1), pick("", "", "<p>")
+            one = lambda: f"{phrase(1, 4)} " * before + f'<a href="/{word()}">{phrase(1, 7)}</a>' + f": {phrase(2, 10)}" * behind
+            return f"<{(t := pick('ul', 'ol'))}>" + "".join(f"<li>{inner}{one()}{pick('', '</li>')}" for _ in range(rng.integers(2, 13))) + f"</{t}>"
+        head = "<thead><tr>" + "".join(f"<th>{word()}</th>" for _ in range(3)) + "</tr></thead>" if rng.random() < 0.5 else ""
+        rows = "".join("<tr>" + "".join(f"<td>{pick(word(), str(rng.integers(9999)))}</td>" for _ in range(3)) + "</tr>" for _ in range(rng.integers(1, 9)))
+        return f"<table>{head}<tbody>{rows}</tbody></table>"
+
+    def title() -> str:
+        head = f"<h1>{phrase(1, 12).capitalize()}</h1>"
+        return f"<header>{head}{pick('', f'<p>{phrase(2, 9)}</p>')}</header>" if rng.random() < 0.25 else head
+
     def body() -> str:
-        parts = [f"<h1>{phrase(3, 12).capitalize()}</h1>"] if rng.random() < 0.8 else []
+        parts = [title()] if rng.random() < 0.8 else []
+        if rng.random() < 0.3:  # nothing but one or two such parts
+            parts += [pick("", f"<h2>{phrase(1, 5)}</h2>") + listing() for _ in range(rng.integers(1, 3))]
+            return "".join(parts) + (own_footer() if rng.random() < 0.2 else "")
         for _ in range(rng.integers(1, 9)):
             kind = rng.random()
             if kind < 0.75:
@@ -368,7 +412,13 @@ def labelled_page(rng: np.random.Generator) -> str:
                 parts.append(f"<div>{prose()}</div>")
             else:
                 parts.append(extra(pick("ad", "notice", "form", "side")))
-        return "".join(parts)
+            if rng.random() < 0.12:
+                parts.append(listing())
+            if rng.random() < 0.02:
+                parts.append(f"<noscript>{pick('', '<p>')}{prose()}</noscript>")
+        if rng.random() < 0.08:
+            parts.insert(len(parts) > 1, off("nav", pick("", named("toc", "contents")), "<ul>" + links(rng.integers(2, 7)) + "</ul>"))
+        return "".join(parts) + (own_footer() if rng.random() < 0.2 else "")
 
     tag = pick("article", "article", "main", "div", "div", "section")
     attr = "" if tag in ("article", "main") and rng.random() < 0.6 else named("content", "post", "entry-content", "article-body", "story", "main")
@@ -377,10 +427,12 @@ def labelled_page(rng: np.random.Generator) -> str:
     kinds = [k for k in ("nav", "header", "ad", "notice", "form", "side") if rng.random() < 0.5]
     after = [k for k in ("comments", "side", "ad", "notice", "form", "nav") if rng.random() < 0.4]
     inside = rng.permutation([extra(k) for k in kinds]).tolist() + [article] + [extra(k) for k in after]
+    if rng.random() < 0.15:
+        inside.insert(int(rng.integers(len(inside) + 1)), off("noscript", "", phrase(3, 14) + "."))
     wrap = "".join(inside)
     if rng.random() < 0.3:
         wrap = f'<div{pick("", " class=wrapper", " id=page")}>{wrap}</div>'
-    return f"<!DOCTYPE html><html><head><title>{phrase(2, 6)}</title><style>p{{}}</style></head><body>{wrap}{extra('footer') if rng.random() < 0.8 else ''}" + pick("</body></html>", "")
+    return f"<!DOCTYPE html><html><head><title>{phrase(2, 6)}</title><style>p{{}}</style></head><body{pick('', '', '', ' class="post main"')}>{wrap}{extra('footer') if rng.random() < 0.8 else ''}" + pick("</body></html>", "")
 
 
 def page_labels(page: Page) -> np.ndarray:
@@ -392,7 +444,9 @@ def page_labels(page: Page) -> np.ndarray:
     return out
 
 
+@functools.cache
 def train(pages: int = TRAIN_PAGES, seed: int = 17) -> dict[str, np.ndarray]:
+    """The weights, fitted once a process: they depend on no table."""
     rng = np.random.default_rng(seed)
     made = [Page(labelled_page(rng)) for _ in range(pages)]
     return fit(made, [page_labels(p) for p in made])
