@@ -6,13 +6,14 @@ sections and pages is assembled from ``conversations``.
 
 from __future__ import annotations
 
+import contextlib
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagewright.functions import scalars
-from pagewright.operators import answers, chunking, layout, search, store, stored, vector_index
+from pagewright.operators import answers, buckets, chunking, layout, search, store, stored, vector_index
 from pagewright.sources import files
 from pagewright.streaming import ingest
 
@@ -236,6 +237,31 @@ def upsert_latest(spark, sf_dir):
     return store.upsert(d, again.unionByName(new).unionByName(last), ["doc_id"])
 
 
+def bucket_commits(spark, sf_dir):
+    """Documents and turns in one bucketed store: all rows, then one commit of changed texts, then one that deletes
+    documents with their turns, then one that fails before its end and changes nothing."""
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
+    turns = _read(spark, sf_dir, "conversations").groupBy("conv_id", "turn").agg(F.max("text").alias("text"))
+    turns = turns.select(F.col("conv_id").alias("doc_id"), "turn", "text")
+    path = f"{stored.scratch_dir(spark)}/store-{uuid.uuid4().hex}"
+    kept = buckets.Store(spark, path, {"documents": (docs.schema, ["doc_id"]), "turns": (turns.schema, ["doc_id", "turn"])}, buckets=16)
+    with kept.commit() as change:
+        change.upsert("documents", docs)
+        change.upsert("turns", turns)
+    with kept.commit() as change:
+        again = docs.filter("length(text) % 10 = 3")
+        change.upsert("documents", again.select("doc_id", F.concat(F.lit("again "), "text").alias("text")))
+    with kept.commit() as change:
+        gone = docs.filter("length(text) % 7 = 0").select("doc_id")
+        change.delete("documents", gone)
+        change.delete("turns", gone)
+    with contextlib.suppress(InterruptedError), kept.commit() as change:
+        change.delete("documents", docs.select("doc_id"))
+        raise InterruptedError
+    one = lambda name, turn: kept.read(name).select(F.lit(name).alias("table_name"), "doc_id", turn.alias("turn"), F.md5("text").alias("digest"))
+    return one("documents", F.lit(-1).cast("long")).unionByName(one("turns", F.col("turn")))
+
+
 def cascade_delete(spark, sf_dir):
     d = _read(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"))
     gone = d.filter("id % 10 = 3").select(F.col("id").alias("document_id"))
@@ -262,7 +288,7 @@ def health(spark, sf_dir):
     return search.health(n("documents").unionByName(n("embeddings"))).select("status", F.to_json("stores").alias("stores"))
 
 
-QUERIES = {f.__name__: f for f in (token_count, chunk_identity, sentence_units, pack_chunks, chunk_markdown, index_payload, hash_embed, vector_topk, vector_topk_multi, vector_index_topk, bm25_topk, rrf_fuse, hybrid_search, citations, simple_answer, sse_frames, vector_hits, keyword_hits, payload_filter, term_filter, render_citation, prompt_messages, poll_state, job_log, index_search, width_fold, pdf_reading_order, rerank_merge, rerank_overlap, list_documents, ready_counts, upsert_latest, cascade_delete, job_state, classify_upload, health)}
+QUERIES = {f.__name__: f for f in (token_count, chunk_identity, sentence_units, pack_chunks, chunk_markdown, index_payload, hash_embed, vector_topk, vector_topk_multi, vector_index_topk, bm25_topk, rrf_fuse, hybrid_search, citations, simple_answer, sse_frames, vector_hits, keyword_hits, payload_filter, term_filter, render_citation, prompt_messages, poll_state, job_log, index_search, width_fold, pdf_reading_order, rerank_merge, rerank_overlap, list_documents, ready_counts, upsert_latest, bucket_commits, cascade_delete, job_state, classify_upload, health)}
 
 _NON_CJK = f"[^{scalars.CJK_CLASS}]"
 _STOP = "(" + ", ".join(f"'{w}'" for w in search.STOP_WORDS) + ")"
@@ -328,6 +354,11 @@ SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY pno, i) - 1 AS po
     "list_documents": "SELECT CAST(doc_id AS VARCHAR) AS id, 'doc-' || doc_id AS title, 'doc-' || doc_id || '.md' AS original_filename, 'text/markdown' AS mime_type, CASE WHEN doc_id % 7 = 0 THEN 'failed' WHEN doc_id % 5 = 0 THEN 'processing' ELSE 'ready' END AS status, 1 AS version, strftime(TIMESTAMP '1970-01-01' + to_seconds(doc_id * 60), '%Y-%m-%d %H:%M:%S') AS created_at, strftime(TIMESTAMP '1970-01-01' + to_seconds(doc_id * 60 + 5), '%Y-%m-%d %H:%M:%S') AS updated_at FROM documents",
     "ready_counts": "SELECT count(*) FILTER (doc_id % 7 <> 0 AND doc_id % 5 <> 0) AS ready, count(*) AS total FROM documents",
     "upsert_latest": "SELECT doc_id, CASE WHEN doc_id % 9 = 0 THEN n_chars + 7 WHEN doc_id % 3 = 0 THEN n_chars + 1 ELSE n_chars END AS n_chars FROM documents UNION ALL SELECT doc_id + 1000000000, n_chars FROM documents WHERE doc_id % 6 = 0",
+    "bucket_commits": """WITH gone AS (SELECT doc_id FROM documents WHERE length(text) % 7 = 0)
+SELECT 'documents' AS table_name, doc_id, CAST(-1 AS BIGINT) AS turn, md5(CASE WHEN length(text) % 10 = 3 THEN 'again ' || text ELSE text END) AS digest
+FROM documents WHERE doc_id NOT IN (FROM gone)
+UNION ALL
+SELECT 'turns', conv_id, turn, md5(max(text)) FROM conversations WHERE conv_id NOT IN (FROM gone) GROUP BY conv_id, turn""",
     "cascade_delete": "SELECT 'documents' AS table_name, count(*) AS rows_left FROM documents WHERE doc_id % 10 <> 3 UNION ALL SELECT 'chunks', count(*) FROM conversations WHERE NOT (conv_id % 10 = 3 AND conv_id IN (SELECT doc_id FROM documents))",
     "job_state": "SELECT user_id, max(event_id) AS event_id, arg_max(event_type, event_id) AS event_type FROM events GROUP BY user_id",
     "classify_upload": """SELECT doc_id, CASE WHEN doc_id % 6 <= 2 OR doc_id % 4 = 0 THEN 'direct' WHEN doc_id % 6 = 3 OR doc_id % 4 = 1 THEN 'pdf' END AS kind, 'doc-' || doc_id AS title FROM documents""",
