@@ -20,10 +20,13 @@ from .common import id_crc, inline_rows
 UNDETERMINED = "und"
 LETTER = r"\p{L}"
 FOLDS, HELD_FOLD = 3, 1
-#: Bounds of the training sample: distinct texts of each label, all labels, whole texts; a row follows while those of its
-#: label before it have less than LABEL_CHARS characters.
+#: Bounds of the training sample: distinct texts of each label, whole texts; a row follows while those of its label before
+#: it have less than LABEL_CHARS characters, or less than its share of ALL_CHARS. Of more than LABELS labels those with the
+#: most texts are learned, so that the sample is bounded however many there are.
 ROWS_PER_LABEL = 300
 LABEL_CHARS = 1_000_000
+ALL_CHARS = 32_000_000
+LABELS = 1000
 HIDDEN = 8
 TRAIN_STEPS, TRAIN_WIDTH, TRAIN_LENGTH = 250, 256, 48
 LENGTH = 128
@@ -38,19 +41,23 @@ def training_sample(rows: DataFrame, label: Column, text: Column) -> list[tuple[
     about four times the rows fall under and keeps one copy of each before the exchange. A label that the bound left
     short is read again in whole."""
     rows = rows.select(label.alias("label"), text.alias("text"), F.xxhash64(text, F.lit(1)).alias("h")).filter("label is not null and length(trim(text)) > 0")
-    many = rows.groupBy("label").agg(F.approx_count_distinct("h").alias("n")).filter(F.col("n") > 4 * ROWS_PER_LABEL)
-    bounds = {x["label"]: 4 * ROWS_PER_LABEL * (1 << 64) // x["n"] - (1 << 63) for x in many.collect()}
-    sample, got = _smallest(rows, bounds)
+    many = rows.groupBy("label").agg(F.approx_count_distinct("h").alias("n")).orderBy(F.desc("n"), "label").limit(LABELS + 1).collect()
+    learned = [x["label"] for x in many[:LABELS]]
+    if len(many) > LABELS:
+        rows = rows.join(F.broadcast(inline_rows(rows.sparkSession, [(k,) for k in learned], "label: string")), "label")
+    chars = min(LABEL_CHARS, ALL_CHARS // max(1, len(learned)))
+    bounds = {x["label"]: 4 * ROWS_PER_LABEL * (1 << 64) // x["n"] - (1 << 63) for x in many[:LABELS] if x["n"] > 4 * ROWS_PER_LABEL}
+    sample, got = _smallest(rows, bounds, chars)
     short = [k for k in bounds if got.get(k, 0) < ROWS_PER_LABEL]
     if short:
         again = rows.join(F.broadcast(inline_rows(rows.sparkSession, [(k,) for k in short], "label: string")), "label")
-        sample = [x for x in sample if x[0] not in set(short)] + _smallest(again, {})[0]
+        sample = [x for x in sample if x[0] not in set(short)] + _smallest(again, {}, chars)[0]
     return sorted(sample)
 
 
-def _smallest(rows: DataFrame, bounds: dict[str, int]) -> tuple[list[tuple[str, str]], dict[str, int]]:
+def _smallest(rows: DataFrame, bounds: dict[str, int], chars: int) -> tuple[list[tuple[str, str]], dict[str, int]]:
     """(label, text) of the ROWS_PER_LABEL distinct texts of the smallest hashes, up to the label's bound if any and to
-    LABEL_CHARS; and how many texts each label had before that."""
+    ``chars``; and how many texts each label had before that."""
     if bounds:
         small = inline_rows(rows.sparkSession, list(bounds.items()), "label: string, bound: long")
         rows = rows.join(F.broadcast(small), "label", "left").filter("bound is null or h <= bound")
@@ -58,7 +65,7 @@ def _smallest(rows: DataFrame, bounds: dict[str, int]) -> tuple[list[tuple[str,
     top = once.withColumn("turn", F.row_number().over(Window.partitionBy("label").orderBy("h"))).filter(F.col("turn") <= ROWS_PER_LABEL)
     before = Window.partitionBy("label").orderBy("h").rowsBetween(Window.unboundedPreceding, -1)
     top = top.withColumn("before", F.coalesce(F.sum(F.length("text")).over(before), F.lit(0)))
-    found = top.withColumn("many", F.max("turn").over(Window.partitionBy("label"))).filter(F.col("before") < LABEL_CHARS)
+    found = top.withColumn("many", F.max("turn").over(Window.partitionBy("label"))).filter(F.col("before") < chars)
     found = found.select("label", "text", "many").collect()
     return [(x["label"], x["text"]) for x in found], {x["label"]: x["many"] for x in found}
 
