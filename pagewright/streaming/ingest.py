@@ -19,6 +19,8 @@ from pagewright.operators import providers, search
 from pagewright.operators.chunking import chunk_documents, chunk_records, index_payload
 from pagewright.sources.files import artifacts, delete_files, identified, read_files, rejected, save_files
 
+#: Tables whose rows count only while a document's last batch names them; the others are history.
+BATCHED = ("texts", "chunks", "vectors", "keywords", "postings", "lengths")
 FILES = "path string, modificationTime timestamp, length bigint, content binary"
 
 
@@ -134,6 +136,27 @@ def delete_document(spark: SparkSession, target: str, document_id: str) -> bool:
     return True
 
 
+def vacuum(spark: SparkSession, target: str) -> list[str]:
+    """Removes, and names, the batch folders that no present document's last batch needs: those of a batch that failed
+    before its documents were written, and those whose documents have all been replaced or deleted. One folder of a table
+    always stays, for its schema. To be run while nothing is ingested or searched; batches are few, so their names are collected."""
+    used = set()
+    if _exists(spark, f"{target}/documents"):
+        used = {f"batch={r[0]}" for r in current_documents(spark, target).filter("status = 'ready'").select("batch").distinct().collect()}
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    fs = path(target).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    gone = []
+    for table in BATCHED:
+        folder = path(f"{target}/{table}")
+        names = sorted(f.getPath().getName() for f in fs.listStatus(folder)) if fs.exists(folder) else []
+        names = [n for n in names if n.startswith("batch=")]
+        spare = [n for n in names if n not in used]
+        for name in spare if len(spare) < len(names) else spare[1:]:
+            fs.delete(path(f"{target}/{table}/{name}"), True)
+            gone.append(f"{table}/{name}")
+    return gone
+
+
 def retriever(spark: SparkSession, target: str, embedding=None, reranker=None, rrf_k: int = search.RRF_K, rerank_top_k: int = 20) -> search.Retriever:
     """Hybrid search over what was ingested: stored vectors and stored postings, no text is read but the hits'."""
     embedding = embedding or providers.HashEmbedding()
