@@ -10,6 +10,8 @@ CJK_RANGES = ((0x2E80, 0x9FFF), (0xAC00, 0xD7AF), (0xF900, 0xFB4F), (0xFF00, 0xF
 CJK_CLASS = "".join(rf"\x{{{a:X}}}-\x{{{b:X}}}" for a, b in CJK_RANGES)
 #: White space as Unicode has it, for engines whose \s is ASCII.
 SPACE = r"[\s\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+#: The same characters one by one.
+SPACES = "\t\n\x0b\x0c\r \x1c\x1d\x1e\x1f\x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
 #: Namespace of point ids: the URL namespace of RFC 4122.
 URL_NAMESPACE = "6ba7b8119dad11d180b400c04fd430c8"
 PAGE_MARKER = r"(?i)<!--\s*page:\s*(\d+)\s*-->"
@@ -69,8 +71,8 @@ def failure_reason(message: Column) -> Column:
 def sentence_units(text: Column) -> Column:
     """Array of sentences: paragraphs between blank lines, each split after an ideographic stop or after a run of .!?
     that white space or the end follows. Marks stay with what they end; blank units are dropped."""
-    strip = lambda x: F.regexp_replace(x, rf"^{SPACE}+|{SPACE}+\z", "")
-    cut = rf"(?<=[。．])|(?<=[.!?])(?={SPACE}|\z)|(?<=(?:^|[。．])[.!?]{{1,64}})(?=[。．])"
-    paragraphs = F.transform(F.split(F.coalesce(text, F.lit("")), rf"\n{SPACE}*\n"), strip)
+    # what is dear is tried last and only beside a mark; ends are stripped without a pattern that enters every run of white space
+    cut = rf"(?<=[。．.!?])(?:(?<=[。．])|(?={SPACE}|\z)|(?=[。．])(?<=(?:^|[。．])[.!?]{{1,64}}))"
+    paragraphs = F.transform(F.split(F.coalesce(text, F.lit("")), rf"\n{SPACE}*\n"), lambda x: F.btrim(x, F.lit(SPACES)))
     units = F.flatten(F.transform(paragraphs, lambda p: F.split(p, cut)))
-    return F.filter(units, lambda u: F.length(F.regexp_replace(u, SPACE, "")) > 0)
+    return F.filter(units, lambda u: u.rlike(f"[^{SPACE[1:]}"))

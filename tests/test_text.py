@@ -1,4 +1,5 @@
 import random
+import time
 import uuid
 
 import pytest
@@ -42,6 +43,17 @@ def test_sentences_match_column_form(spark):
     assert all(r.u == chunking.sentences(r.t) for r in got)
 
 
+def test_sentences_of_long_runs_take_time_in_proportion(spark):
+    made = {"gap": "a" + " " * 60_000 + "b. c" + " \u3000\x85" * 20_000, "marks": "a" + "." * 60_000 + "b. c", "plain": "one two " * 40_000 + "three. four"}
+    rows = spark.createDataFrame([(k, v) for k, v in made.items()], "k string, t string")
+    began = time.monotonic()
+    got = {r.k: r.u for r in rows.select("k", scalars.sentence_units(F.col("t")).alias("u")).collect()}
+    assert time.monotonic() - began < 15
+    assert got == {"gap": ["a" + " " * 60_000 + "b.", " c"], "marks": ["a" + "." * 60_000 + "b.", " c"], "plain": ["one two " * 40_000 + "three.", " four"]}
+    edges = "".join(f"{c}x{c}\n{c}\n" for c in scalars.SPACES)
+    assert spark.range(1).select(scalars.sentence_units(F.lit(edges)).alias("u")).first().u == chunking.sentences(edges)
+
+
 def test_windows_stay_in_budget_and_cover():
     text = "word " * 400
     parts = chunking.split_windows(text, 30, 8)
