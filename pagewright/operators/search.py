@@ -173,10 +173,23 @@ def vector_topk_multi(vectors: DataFrame, queries: DataFrame, key: str, limit: i
     return best_of_queries(queries, key, vectors.schema[key].dataType, limit, lambda _, score: source.mapInArrow(*score()), block)
 
 
+def text_postings(rows: DataFrame, key: str, text: Column) -> DataFrame:
+    """(key, term, tf, dl) of each text by itself, counted where it lies: its terms are sorted and their runs measured."""
+    first = lambda ts: F.filter(F.sequence(F.lit(0), F.size(ts) - 1), lambda i: (i == 0) | (F.get(ts, i) != F.get(ts, i - 1)))
+    ends = lambda ts, at: F.concat(F.slice(at, F.lit(2), F.size(at)), F.array(F.size(ts)))
+    runs = lambda ts, at: F.zip_with(at, ends(ts, at), lambda lo, hi: F.struct(F.get(ts, lo).alias("term"), (hi - lo).cast("long").alias("tf"), F.size(ts).alias("dl")))
+    # arrays of one element, so that tokens and places are made once a text
+    made = F.transform(F.array(F.sort_array(keyword_tokens(text))), lambda ts: F.when(F.size(ts) > 0, F.flatten(F.transform(F.array(first(ts)), lambda at: runs(ts, at)))))
+    return rows.select(F.col(key), F.inline(made[0]))
+
+
 def postings(rows: DataFrame, key: str, text: Column) -> DataFrame:
-    """(key, term, tf, dl) of all texts. Write it once, by term, to search it often."""
-    tokens = rows.select(F.col(key), keyword_tokens(text).alias("tokens"))
-    return tokens.select(key, F.size("tokens").alias("dl"), F.explode("tokens").alias("term")).groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"), F.first("dl").alias("dl"))
+    """(key, term, tf, dl) of all texts, those of a repeated key together. Write it once, by term, to search it often."""
+    return merged_postings(text_postings(rows, key, text), key)
+
+
+def merged_postings(rows: DataFrame, key: str, *also: str) -> DataFrame:
+    return rows.groupBy(key, "term", *also).agg(F.sum("tf").alias("tf"), F.first("dl").alias("dl"))
 
 
 def bm25_topk(rows: DataFrame, key: str, text: Column, query: str, limit: int) -> DataFrame:
@@ -294,16 +307,18 @@ def _bucket(term: Column) -> Column:
 
 
 def write_postings(rows: DataFrame, key: str, text: Column, path: str) -> None:
-    """Stores postings by term, and the lengths of all texts, for ``stored_bm25``."""
-    counted = postings(rows, key, text)
-    counted.withColumn("bucket", _bucket(F.col("term"))).repartition("bucket").sortWithinPartitions("bucket", "term").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings")
+    """Stores postings by term, and the lengths of all texts, for ``stored_bm25``. Texts are counted where they lie, so
+    that postings move once, to their folder; those of a repeated key are added up where they are read."""
+    counted = text_postings(rows, key, text)
+    counted.repartition(_bucket(F.col("term"))).withColumn("bucket", _bucket(F.col("term"))).sortWithinPartitions("bucket", "term").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings")
     rows.select(F.size(keyword_tokens(text)).cast("long").alias("dl")).agg(F.count(F.lit(1)).alias("n"), F.sum("dl").alias("words")).write.mode("overwrite").parquet(f"{path}/lengths")
 
 
 def read_postings(spark: SparkSession, path: str, terms: list[str]) -> DataFrame:
     """The postings of some terms: only their folders are listed in the plan, and only their row groups are read."""
     buckets = [r[0] for r in spark.range(1).select(F.explode(F.array(*[F.lit(t) for t in terms])).alias("t")).select(_bucket(F.col("t"))).distinct().collect()]
-    return spark.read.parquet(f"{path}/postings").filter(F.col("bucket").isin(buckets) & F.col("term").isin(terms))
+    found = spark.read.parquet(f"{path}/postings").filter(F.col("bucket").isin(buckets) & F.col("term").isin(terms))
+    return merged_postings(found, next(c for c in found.columns if c not in ("term", "tf", "dl", "bucket")), "bucket")
 
 
 def stored_bm25(spark: SparkSession, path: str, key: str, query: str, limit: int) -> DataFrame:
