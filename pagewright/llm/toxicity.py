@@ -5,7 +5,7 @@ ends). Both tables hold one fixed coordinate, the shrunken log-odds of the word
 and trained ones. The network reads windows of WINDOW words that overlap by half, attends over their words and gives a
 score; a document's score is that of its strongest window, calibrated on training rows that the network did not see.
 Only documents are labelled, so training goes back and forth between choosing the strongest windows of toxic documents
-and fitting the network (multiple-instance learning). All is trained in numpy on a bounded sample of labelled rows.
+and fitting the network (multiple-instance learning). All is trained in numpy on a bounded sample of labelled rows, in one task.
 """
 
 from __future__ import annotations
@@ -16,7 +16,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -193,7 +192,7 @@ def fit(sample: list[tuple[int, str]], seed: int = 9) -> Scorer:
     texts = fold_texts([t for _, t in sample])
     ptr, number, words, grams, gptr = distinct_words(texts)
     per_doc = [np.unique(number[ptr[i] : ptr[i + 1]]) for i in range(len(texts))]
-    gram_of = [np.concatenate([grams[gptr[w] : gptr[w + 1]] for w in d.tolist()] or [grams[:0]]) for d in per_doc]
+    gram_of = [np.unique(np.concatenate([grams[gptr[w] : gptr[w + 1]] for w in d.tolist()] or [grams[:0]])).astype(np.int32) for d in per_doc]
     # log-odds for training come from the other folds, so that no row's features know its own label
     fold = np.empty(len(labels), np.int64)
     for y in (0, 1):
@@ -282,8 +281,8 @@ def held_out(doc_id: Column) -> Column:
     return id_crc(doc_id) % FOLDS == 0
 
 
-def training_sample(docs: DataFrame, labels: DataFrame) -> list[tuple[int, str]]:
-    """(label, text) of labelled rows outside the held-out fold: at most ROWS_PER_CLASS of each class, drawn by the hash
+def training_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """(toxic, text, doc_id) of labelled rows outside the held-out fold: at most ROWS_PER_CLASS of each class, drawn by the hash
     of the id, as whole texts; a row follows while those before it have less than CLASS_CHARS. The drawn ids are few, so
     that the documents are filtered by a broadcast of them."""
     rows = labels.filter("doc_id is not null and toxic in (0, 1)").filter(~held_out(F.col("doc_id"))).select("doc_id", F.col("toxic").cast("int").alias("toxic"))
@@ -295,7 +294,23 @@ def training_sample(docs: DataFrame, labels: DataFrame) -> list[tuple[int, str]]
     top = got.withColumn("turn", F.row_number().over(Window.partitionBy("doc_id").orderBy("toxic", "text"))).filter("turn = 1")
     before = Window.partitionBy("toxic").orderBy(F.xxhash64("doc_id"), "doc_id").rowsBetween(Window.unboundedPreceding, -1)
     fit_in = top.withColumn("before", F.coalesce(F.sum(F.length("text")).over(before), F.lit(0))).filter(F.col("before") < CLASS_CHARS)
-    return [(x["toxic"], x["text"]) for x in fit_in.select("toxic", "text", "doc_id").sort("doc_id").collect()]
+    return fit_in.select("toxic", "text", "doc_id")
+
+
+def training_sample(docs: DataFrame, labels: DataFrame) -> list[tuple[int, str]]:
+    """(label, text) of the training rows."""
+    return [(x["toxic"], x["text"]) for x in training_rows(docs, labels).sort("doc_id").collect()]
+
+
+def train(rows: DataFrame) -> bytes:
+    """The pickled state of a scorer fitted to training rows by one task, so that the driver gets tables and weights alone."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sample = [x for b in batches for x in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)]
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(vars(fit(sample)))], pa.binary())], names=["state"])
+
+    state = rows.repartition(1).sortWithinPartitions("doc_id").mapInArrow(run, "state binary").collect()
+    return bytes(state[0][0]) if state else pickle.dumps(vars(fit([])))
 
 
 def score_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -304,11 +319,12 @@ def score_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
     Whole texts are scored in all their windows. Null, empty and wordless texts get the share of toxic training rows.
     Ids labelled twice count once in each class that they have. An empty table gives no rows.
     """
-    held = docs.sparkSession.sparkContext.broadcast(cloudpickle.dumps(fit(training_sample(docs, labels))))
+    held = docs.sparkSession.sparkContext.broadcast(train(training_rows(docs, labels)))
     rows = docs.select(F.col("doc_id").alias("doc_id"), held_out(F.col("doc_id")).alias("held_out"), "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = pickle.loads(held.value)
+        model = Scorer()
+        vars(model).update(pickle.loads(held.value))
         for batch in batches:
             for lo, hi, texts in folded_slices(batch.column(2), GROUP_BYTES):
                 score = model.scores(texts)
