@@ -45,7 +45,8 @@ def _stage(operator: Callable[..., DataFrame]) -> Callable[[SparkSession, DataFr
 
 @_stage
 def identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows whose text has a letter. Null, empty and letterless texts go; repeated rows stay as often as they stand."""
+    """Rows whose predicted language has at least half of the text's positions. Null, empty and letterless texts go, and
+    those of no one language; where no lang was learned all others stay. Repeated rows stay as often as they stand."""
     return langid.keep_identified(docs)
 
 

@@ -29,6 +29,8 @@ ALL_CHARS = 32_000_000
 LABELS = 1000
 HIDDEN = 8
 TRAIN_STEPS, TRAIN_WIDTH, TRAIN_LENGTH = 250, 256, 48
+#: Score from which a text counts as one in its predicted language: that has half of the text's positions or more.
+SURE = 0.5
 LENGTH = 128
 GROUP_BYTES = 1 << 19
 #: Label probabilities held at once.
@@ -198,8 +200,11 @@ def identify(docs: DataFrame) -> DataFrame:
     return predict(docs, train(docs), [F.col("doc_id").alias("doc_id"), held_out(F.col("doc_id")).alias("held_out")])
 
 
-def keep_identified(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose text has a letter, with all their columns: null and letterless texts are rejected, and
-    the others stay also where no label was learned."""
-    found = predict(docs.withColumn("_row", F.struct(*[F.col(f"`{c}`") for c in docs.columns])), train(docs), [F.col("_row").alias("_row")])
-    return found.filter(F.col("_row.text").rlike(LETTER)).select("_row.*")
+def keep_identified(docs: DataFrame, sure: float = SURE) -> DataFrame:
+    """The rows of ``docs`` in one language, with all their columns: those whose predicted language has a score of at least
+    ``sure``. Null and letterless texts are undetermined and go; where no label was learned nothing is known of the
+    others, which stay. The stored text alone decides, so repeated rows fare alike."""
+    tagger = train(docs)
+    found = predict(docs.withColumn("_row", F.struct(*[F.col(f"`{c}`") for c in docs.columns])), tagger, [F.col("_row").alias("_row")])
+    known = (F.col("lang_pred") != UNDETERMINED) & (F.col("score") >= sure) if tagger.labels else F.col("_row.text").rlike(LETTER)
+    return found.filter(known).select("_row.*")

@@ -39,3 +39,15 @@ def test_many_labels_do_not_enlarge_the_sample(spark, monkeypatch):
     labels = {k for k, _ in sample}
     assert len(labels) == 50 and {"aa", "bb"} <= labels
     assert sum(len(t) for _, t in sample) < 2 * 5000
+
+
+def test_the_language_stage_decides_by_its_prediction(spark):
+    """Each of five languages has letters of its own; a text of all five in equal parts is in none of them."""
+    made = {"aa": "adbe cafe bead face abed ", "kk": "kilo honk jilk mink olim ", "tt": "trust vuts wurst stux rust ", "zz": "zgyz gyzy zyg gzzy ygzy zg ", "00": "é ñóé óñé éñ óé "}
+    rows = [(i, made[k] * 6, k) for i, k in enumerate(sorted(made) * 40)]
+    odd = [(1000, "".join(made.values()) * 6, None), (1001, None, "aa"), (1002, "12 34", "kk")]
+    docs = spark.createDataFrame(rows + odd * 2, "doc_id long, text string, lang string")
+    kept = [r.doc_id for r in corpus_pipeline.identified(spark, docs, "unused").select("doc_id").collect()]
+    assert sorted(kept) == [i for i, _, _ in rows]
+    scores = {r.doc_id: r.score for r in langid.identify(docs).collect()}
+    assert scores[1000] < langid.SURE <= min(scores[i] for i, _, _ in rows)
