@@ -27,6 +27,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -234,31 +235,33 @@ def _roots(payload: list[str]):
     return run
 
 
+TIED = "path long, a long, b long, coords binary, sketch binary"
+TIED_ARROW = pa.schema([("path", pa.int64()), ("a", pa.int64()), ("b", pa.int64()), ("coords", pa.binary()), ("sketch", pa.binary())])
+
+
 def _tie(scheme: Scheme):
-    """Rows of large nodes with their pivot -> edges to the pivot, and rows too far from it (b null), each with its node."""
-    schema = pa.schema([("path", pa.int64()), ("a", pa.int64()), ("b", pa.int64())])
+    """Rows of large nodes with their pivot -> edges to the pivot (b null where a row is too far from it), each with its
+    node, and with coordinates and sketch where the row is not near the pivot and may go on."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
             path, ids, pivots = (batch.column(batch.schema.get_field_index(c)).to_numpy() for c in ("path", "id", "pivot_id"))
-            tied = scheme.estimate(_rows(batch, "sketch", np.uint64), _rows(batch, "pivot_sketch", np.uint64)) >= scheme.outer
-            said = np.flatnonzero(~tied | (ids != pivots))
-            yield pa.RecordBatch.from_arrays([pa.array(path[said]), pa.array(ids[said]), pa.array(pivots[said], mask=~tied[said])], schema=schema)
+            near = scheme.estimate(_rows(batch, "sketch", np.uint64), _rows(batch, "pivot_sketch", np.uint64))
+            said = np.flatnonzero((near < scheme.inner) | (ids != pivots))
+            far = pa.array(near[said] < scheme.inner)
+            own = (pc.if_else(far, batch.column(batch.schema.get_field_index(c)).take(pa.array(said)), pa.scalar(None, pa.binary())) for c in ("coords", "sketch"))
+            yield pa.RecordBatch.from_arrays([pa.array(path[said]), pa.array(ids[said]), pa.array(pivots[said], mask=near[said] < scheme.outer), *own], schema=TIED_ARROW)
 
     return run
 
 
-def _split(scheme: Scheme, at_root: bool):
-    """Rows of large nodes with their pivot -> those that are not near it, at the child nodes."""
+def _split(at_root: bool):
+    """Rows of large nodes that are not near their pivot -> the same at the child nodes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            near = scheme.estimate(_rows(batch, "sketch", np.uint64), _rows(batch, "pivot_sketch", np.uint64))
-            rest = batch.take(pa.array(np.flatnonzero(near < scheme.inner)))
+        for rest in batches:
             path = rest.column(rest.schema.get_field_index("path")).to_numpy()
             for child in range(FIRST if at_root else 2):
                 part = rest if at_root or not child else rest.filter(pa.array(_seconds(path)))
@@ -350,13 +353,14 @@ def candidate_edges(sets: DataFrame, scheme: Scheme) -> DataFrame:
             break
         pivots = sets.select(F.col("id").alias("pivot_id"), F.col("sketch").alias("pivot_sketch")).join(beside(heavy.select("path", "pivot_id")), "pivot_id")
         pivots = Table(pivots, "pivots").read()
-        tied = light_rows.join(beside(pivots), "path").select("path", "id", "sketch", "pivot_id", "pivot_sketch")
-        tied = Table(tied.mapInArrow(_tie(scheme), "path long, a long, b long"), "tied").read()
+        # one join a level: each row of a large node meets its one pivot, and only rows far from it are kept with coordinates
+        tied = full.join(beside(pivots), "path").select("path", "id", "coords", "sketch", "pivot_id", "pivot_sketch")
+        tied = Table(tied.mapInArrow(_tie(scheme), TIED), "tied").read()
         found.append(tied.filter("b is not null").select("a", "b"))
         # where all of a node are tied to its pivot, no partner of theirs is left to meet in it
-        going = Table(pivots.join(tied.filter("b is null").select("path").distinct(), "path", "left_semi"), "going").read()
-        split = full.join(beside(going), "path").select("path", "id", "coords", "sketch", "pivot_id", "pivot_sketch")
-        full = Table(split.mapInArrow(_split(scheme, not depth), NODES), "split").read()
+        going = Table(tied.filter("b is null").select("path").distinct(), "going").read()
+        split = tied.filter("coords is not null").join(beside(going), "path", "left_semi").select("path", F.col("a").alias("id"), "coords", "sketch")
+        full = Table(split.mapInArrow(_split(not depth), NODES), "split").read()
         bare, light_rows = full.select("path", "id"), full.select("path", "id", "sketch")
     edges = found[0]
     for e in found[1:]:
